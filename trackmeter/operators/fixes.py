@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BLANKS = " \t\r\n "
+BLANKS = " \t\r\n\u00a0"
 DAY_US = 86_400_000_000
 #: width of a time block
 BLOCK_US = 8 * DAY_US
@@ -80,19 +80,26 @@ def in_blocks(df: DataFrame, payload: Sequence[str] = (), block_us: int = BLOCK_
     )
 
 
-BLOCK = Window.partitionBy("entity", "blk")
-IN_BLOCK = BLOCK.orderBy("ts_us", "event_id")
-BLOCKS = Window.partitionBy("entity").orderBy("blk")
+def block_window(*order: Column | str) -> WindowSpec:
+    """Within one entity's block."""
+    w = Window.partitionBy("entity", "blk")
+    return w.orderBy(*order) if order else w
+
+
+def blocks_window() -> WindowSpec:
+    """Over the blocks of one entity, for tables with one row a block."""
+    return Window.partitionBy("entity").orderBy("blk")
 
 
 def with_neighbours(blocked: DataFrame, payload: Sequence[str], before: int = 1, after: int = 0) -> DataFrame:
     """Adds ``p{k}_{c}`` and ``n{k}_{c}``: column c of the k-th record before and after, in the entity's order.
 
     ``blocked`` is the result of ``in_blocks``; the neighbours hold across blocks. c is each of
-    ``payload`` plus event_id. Beyond the entity's first and last record they are NULL.
+    ``payload`` plus event_id and ts_us. Beyond the entity's first and last record they are NULL.
     """
-    cols = ["event_id", *payload]
-    ranks = {"_rn": F.row_number().over(IN_BLOCK), "_n": F.count(F.lit(1)).over(BLOCK)}
+    cols = ["event_id", "ts_us", *payload]
+    in_block, blocks = block_window("ts_us", "event_id"), blocks_window()
+    ranks = {"_rn": F.row_number().over(in_block), "_n": F.count(F.lit(1)).over(block_window())}
     record = F.struct("ts_us", "event_id", *payload)
     pick = lambda cond: F.array_sort(F.collect_list(F.when(cond, record)))
     edges = (
@@ -103,22 +110,22 @@ def with_neighbours(blocked: DataFrame, payload: Sequence[str], before: int = 1,
         .select(
             "entity",
             "blk",
-            F.flatten(F.collect_list("_tail").over(BLOCKS.rowsBetween(-max(before, 1), -1))).alias("_prev"),
-            F.flatten(F.collect_list("_head").over(BLOCKS.rowsBetween(1, max(after, 1)))).alias("_next"),
+            F.flatten(F.collect_list("_tail").over(blocks.rowsBetween(-max(before, 1), -1))).alias("_prev"),
+            F.flatten(F.collect_list("_head").over(blocks.rowsBetween(1, max(after, 1)))).alias("_next"),
         )
     )
     shifts = {}
     for k in range(1, before + 1):
-        shifts |= {f"p{k}_{c}": F.lag(c, k).over(IN_BLOCK) for c in cols}
+        shifts |= {f"p{k}_{c}": F.lag(c, k).over(in_block) for c in cols}
     for k in range(1, after + 1):
-        shifts |= {f"n{k}_{c}": F.lead(c, k).over(IN_BLOCK) for c in cols}
+        shifts |= {f"n{k}_{c}": F.lead(c, k).over(in_block) for c in cols}
     df = blocked.withColumns(ranks | shifts).join(edges, ["entity", "blk"], "left")
     out = {}
     for k in range(1, before + 1):
-        far = F.try_element_at("_prev", F.col("_rn") - k - 1)
+        far = F.get("_prev", F.size("_prev") + F.col("_rn") - k - 1)
         out |= {f"p{k}_{c}": F.when(F.col("_rn") > k, F.col(f"p{k}_{c}")).otherwise(far[c]) for c in cols}
     for k in range(1, after + 1):
-        far = F.try_element_at("_next", F.col("_rn") + k - F.col("_n").cast("int"))
+        far = F.get("_next", (F.col("_rn") + k - F.col("_n")).cast("int") - 1)
         inside = F.col("_rn") + k <= F.col("_n")
         out |= {f"n{k}_{c}": F.when(inside, F.col(f"n{k}_{c}")).otherwise(far[c]) for c in cols}
     return df.withColumns(out).drop("_rn", "_n", "_prev", "_next")
