@@ -48,3 +48,98 @@ g as (select *, case when t - lag(t) over w <= 3600000000 then 0 else 1 end b fr
 s as (select *, sum(b) over (partition by a order by t, e rows unbounded preceding) k from g)
 select first(e order by t, e) first_event_id, last(e order by t, e) last_event_id from s group by a, k
 """
+
+P6_FOUND = f"""
+with {PLACED},
+ok as (select e, a, la, lo from placed where abs(la) <= 90 and abs(lo) <= 180 and not (la = 0 and lo = 0)),
+band as (select *, floor((la + 90) * 3000)::bigint cy from ok),
+wide as (select *, unnest([cy - 1, cy, cy + 1]) ny from band)
+select least(p.e, q.e) event_id_a, greatest(p.e, q.e) event_id_b
+from wide p join band q on p.ny = q.cy and p.a < q.a and abs(p.la - q.la) < 0.0003
+where {dist("p.", "q.")} <= 30
+"""
+
+_B = "[\\s\\p{Z}\\x{200b}\\x{feff}]"
+_M = "[,;|/:!?&*=~@#%^_<>(){}\\[\\]\\\\]"
+
+_P7 = f"""
+raw as (select "event-id" event_id, min("eobs:accelerations-raw") r from acc_records where "event-id" is not null group by 1),
+odd as (select event_id, regexp_replace(r, '^{_B}+|{_B}+$', '', 'g') r from raw where not regexp_matches(r, '^[+-]?[0-9]+( [+-]?[0-9]+)*$')),
+bare as (select event_id, case when regexp_matches(r, '^(\\[.*\\]|\\(.*\\)|\\{{.*\\}})$', 's') then r[2:-2] else r end r from odd),
+unq as (select event_id, regexp_replace(regexp_replace(r, '^{_B}+|{_B}+$', '', 'g'), '"([0-9]*),?([0-9]*)"', '\\1\\2', 'g') r from bare),
+cut as (select event_id, regexp_replace(regexp_replace(r, '^{_M}{_B}*', ''), '{_B}*{_M}$', '') r from unq where r <> ''),
+parts as (select event_id, regexp_split_to_array(r, '{_B}*{_M}{_B}*|{_B}+') p from cut),
+vals as (select event_id, unnest(p) v, unnest(range(1, len(p) + 1)) pos from parts),
+odd_values as (select event_id, pos, v::bigint "value" from vals where regexp_matches(v, '^[+-]?[0-9]+$'))
+"""
+P7_FOUND = f"with {_P7} select * from odd_values"
+P7_VALUES = f"""
+with {_P7},
+plain as (select event_id, string_split(r, ' ') p from raw where regexp_matches(r, '^[+-]?[0-9]+( [+-]?[0-9]+)*$'))
+select * from odd_values
+union all select event_id, unnest(range(1, len(p) + 1)) pos, unnest(p)::bigint "value" from plain
+"""
+
+_ALIASES = {
+    "ground-speed": ("speedoverground", "vitessesol"),
+    "height-above-ellipsoid": ("heightellipsoid", "ellipsoidheight", "hauteurellipsoide"),
+    "manually-marked-outlier": ("manualoutlier", "markedoutliermanually", "outlier", "aberrantmarquemain"),
+    "heading": ("headingdegrees",),
+    "external-temperature": ("exttemperature",),
+}
+_KEY = lambda x: f"regexp_replace(lower({x}), '\\(.*?\\)|\\[.*?\\]|^\\s*[a-z]+:|[^a-z0-9]', '', 'g')"
+_CUT = (
+    "list_transform(string_split(array_to_string(list_transform(string_split(replace(line, '\"\"', chr(2)), '\"'),"
+    " lambda x, i: case when i % 2 = 0 then replace(x, d, chr(1)) else x end), ''), d),"
+    " lambda x: case when x = chr(2) then '' else replace(replace(x, chr(1), d), chr(2), '\"') end)"
+)
+_PARSED = f"""
+known as (select field, {_KEY("field")} k from field_dictionary
+  {"".join(f" union all select '{f}', '{a}'" for f, ways in _ALIASES.items() for a in ways)}),
+head0 as (select file_id, min(line) line from export_lines where line_no = 0 group by 1),
+bare as (select *, regexp_replace(line, '"[^"]*"', 'q', 'g') b from head0),
+cand as (select file_id, line, d, row_number() over (partition by file_id order by length(b) - length(replace(b, d, '')) desc, d desc) r
+  from bare, (select unnest([',', ';', chr(9), '|']) d)),
+head as (select file_id, d, list_transform({_CUT}, lambda x: lower(trim(x))) h from cand where r = 1),
+cols as (select file_id, unnest(h) header, unnest(range(1, len(h) + 1)) i from head),
+col as (select file_id, i, header, field from (select c.*, k.field, row_number() over (partition by c.file_id, k.field order by i) r
+  from cols c join known k on {_KEY("c.header")} = k.k) where r = 1),
+body as (select l.file_id, l.line_no, {_CUT} v from export_lines l join head using (file_id) where line_no > 0),
+cell as (select * from (select b.file_id, b.line_no, c.field, nullif(trim(v[c.i]), '') x from body b join col c using (file_id)) where x is not null)
+"""
+
+P2_FOUND = f"""
+with {_PARSED},
+kind as (select file_id, field, case when bool_and(lower(x) in ('true', 'false')) then 'boolean'
+  when bool_and(regexp_full_match(x, '[+-]?[0-9]+')) then 'integer'
+  when bool_and(regexp_full_match(x, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)')) then 'decimal' else 'text' end k from cell group by 1, 2),
+prof as (select c.file_id, c.field, c.header, kind.k from col c left join kind using (file_id, field)),
+step as (select * from (select file_id, lag(file_id) over (partition by uuid order by exported_at, file_id) prev from export_files
+  where uuid is not null and exported_at is not null) where prev is not null),
+now as (select s.file_id, p.field, p.header, p.k from step s join prof p using (file_id)),
+old as (select s.file_id, p.field, p.header, p.k from step s join prof p on p.file_id = s.prev),
+both_ as (select coalesce(n.file_id, o.file_id) file_id, coalesce(n.field, o.field) field, n.header h1, o.header h0, n.k k1, o.k k0
+  from now n full join old o on n.file_id = o.file_id and n.field = o.field)
+select file_id, field, 'added' change_kind from both_ where h0 is null
+union all select file_id, field, 'removed' from both_ where h1 is null
+union all select file_id, field, 'renamed' from both_ where h0 <> h1
+union all select file_id, field, 'retyped' from both_ where k0 <> k1
+"""
+
+_NUM = "try_cast(replace(nullif(regexp_extract(x, '^([+-]?[0-9]*[.,]?[0-9]+)\\s*\\pL*(/\\pL+)?$', 1), ''), ',', '.') as double)"
+_TABLE = {
+    "event-id": "case when regexp_full_match(x, '[+-]?[0-9]+') then x::bigint end",
+    "eobs:battery-voltage": "case when regexp_full_match(x, '[+-]?[0-9]+') then x::bigint end",
+    **{f: _NUM for f in ("location-lat", "location-long", "ground-speed", "height-above-ellipsoid", "heading", "external-temperature")},
+    **{
+        f: "case when lower(x) in ('true', 'yes', '1', 'outlier') then true when lower(x) in ('false', 'no', '0', 'ok') then false end"
+        for f in ("manually-marked-outlier", "visible")
+    },
+    **{f: "x" for f in ("timestamp", "individual-local-identifier", "tag-local-identifier", "sensor-type", "eobs:status")},
+}
+
+P2_TABLE = f"""
+with {_PARSED}
+select b.file_id, b.line_no, {", ".join(f'max(case when field = {chr(39)}{f}{chr(39)} then {e} end) "{f}"' for f, e in _TABLE.items())}
+from body b left join cell c using (file_id, line_no) group by 1, 2
+"""

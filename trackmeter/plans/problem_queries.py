@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trackmeter.operators import drift
+from trackmeter.operators.packed import all_bursts, odd_bursts
 from trackmeter.operators.sessions import sessions
+from trackmeter.operators.spatial import near_pairs
 from trackmeter.operators.spikes import implausible
 from trackmeter.plans import problem_oracles as sql
 from trackmeter.sources.tables import Tables
@@ -14,9 +17,51 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return implausible(Tables(spark, sf_dir).position_fixes).select("event_id").distinct()
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    fields = drift.profile(t.export_lines, drift.headers(t.export_lines, t.field_dictionary))
+    return drift.changes(t.export_files, fields).select("file_id", "field", "change_kind")
+
+
+def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of all files in one typed table, after the replay of rescued values."""
+    t = Tables(spark, sf_dir)
+    heads = drift.headers(t.export_lines, t.field_dictionary)
+    return drift.replay(drift.ingest(t.export_lines, heads, t.field_dictionary), t.field_dictionary).drop("_rescued")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(Tables(spark, sf_dir).position_fixes).select("first_event_id", "last_event_id")
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found}
-ORACLES = {"p1_found": sql.P1_FOUND, "p5_found": sql.P5_FOUND}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_pairs(Tables(spark, sf_dir).position_fixes).select("event_id_a", "event_id_b")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_bursts(Tables(spark, sf_dir).acc_records)
+
+
+def p7_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of every burst, however written."""
+    return all_bursts(Tables(spark, sf_dir).acc_records)
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_table": p2_table,
+    "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_values": p7_values,
+}
+ORACLES = {
+    "p1_found": sql.P1_FOUND,
+    "p2_found": sql.P2_FOUND,
+    "p2_table": sql.P2_TABLE,
+    "p5_found": sql.P5_FOUND,
+    "p6_found": sql.P6_FOUND,
+    "p7_found": sql.P7_FOUND,
+    "p7_values": sql.P7_VALUES,
+}
