@@ -21,3 +21,17 @@ select be acc_event_id, e fix_event_id from (
   select *, row_number() over (partition by be order by abs(bt - t), t) r from (select * from b union all select * from f) where abs(bt - t) <= 60000000)
 where r = 1
 """
+
+_WORDS = """
+w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') w from documents where text is not null),
+g as (select doc_id, len(w) n, unnest(list_transform(range(1, len(w) - 4), lambda i: array_to_string(w[i:i + 5], ' '))) g,
+  unnest(range(1, len(w) - 4)) i from w where len(w) > 6),
+s as (select doc_id, n, i from (select *, row_number() over (partition by doc_id, g order by i) r from g) where r > 1),
+c as (select doc_id, any_value(n) n, sum(least(6, d)) c from (select *, coalesce(i - lag(i) over (partition by doc_id order by i), 6) d from s) group by 1)
+"""
+P10_FOUND = f"with {_WORDS} select doc_id from c where c >= 0.30 * n"
+P10_SHARES = f"""
+with {_WORDS}
+select d.doc_id, length(coalesce(d.text, '')) n_chars, coalesce(len(w.w), 0) n_words, coalesce(c.c / c.n, 0.0) repeated_word_share
+from documents d left join w using (doc_id) left join c using (doc_id)
+"""

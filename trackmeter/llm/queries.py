@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackmeter.llm import oracles as sql
+from trackmeter.llm.mixing import mix, shares
 from trackmeter.llm.nearest import bursts_with_fixes
+from trackmeter.llm.packing import fill_report, packed
+from trackmeter.llm.repetition import judged, repetitive
 from trackmeter.llm.runs import near_runs
 from trackmeter.sources.tables import Tables
 
@@ -21,5 +24,55 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("left_id").alias("acc_event_id"), F.col("right_id").alias("fix_event_id"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found}
-ORACLES = {"p3_found": sql.P3_FOUND, "p4_found": sql.P4_FOUND}
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(Tables(spark, sf_dir).documents)
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return fill_report(packed(Tables(spark, sf_dir).documents))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return mix(t.documents, t.mix_targets)
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares by source."""
+    t = Tables(spark, sf_dir)
+    return shares(mix(t.documents, t.mix_targets), t.mix_targets)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetitive(Tables(spark, sf_dir).documents).select("doc_id")
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's length and share of repeated words."""
+    shown = ("n_chars", "n_words", "repeated_word_share")
+    return judged(Tables(spark, sf_dir).documents, rules=(), show=shown).select("doc_id", *shown)
+
+
+def p10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of the threshold table that each repetitive document breaks."""
+    return judged(Tables(spark, sf_dir).documents).filter(F.size("broken") > 0).select("doc_id", F.concat_ws("; ", "broken").alias("broken"))
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p8_packed": p8_packed,
+    "p8_fill": p8_fill,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_shares": p10_shares,
+    "p10_rules": p10_rules,
+}
+ORACLES = {
+    "p3_found": sql.P3_FOUND,
+    "p4_found": sql.P4_FOUND,
+    "p10_found": sql.P10_FOUND,
+    "p10_shares": sql.P10_SHARES,
+}
