@@ -164,26 +164,27 @@ def near_pairs(fixes: DataFrame, metres: float = 30.0, roomy: float = 2.0) -> Da
     key = lambda y, x, n: y * F.lit(2**32) + F.pmod(x, n)
 
     pts = placed_records(fixes).filter(~impossible_position(F.col("lat"), F.col("lon"))).drop("ts_us")
-    here = y_of(F.col("lat"))
-    found = pts.select(
-        key(here, x_of(F.col("lon"), cells(here)), cells(here)).alias("node"),
+    placed = lambda df, y: df.withColumn("_y", y).withColumn("_n", cells(F.col("_y")))
+    found = placed(pts, y_of(F.col("lat"))).select(
+        key(F.col("_y"), x_of(F.col("lon"), F.col("_n")), F.col("_n")).alias("node_b"),
         F.col("event_id").alias("id_b"), F.col("entity").alias("ent_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"),
     )
-    rows = pts.withColumn("_y", F.explode(F.array_distinct(F.array(here, y_of(F.col("lat") + tall)))))
-    n, w = cells(F.col("_y")), wide(F.col("lat"))
-    left, right = x_of(F.col("lon") - w, n), x_of(F.col("lon") + w, n)
-    nodes = F.array_distinct(F.transform(F.sequence(left, F.least(right, left + n - 1)), lambda x: key(F.col("_y"), x, n)))
+    rows = placed(pts, F.explode(F.array_distinct(F.array(y_of(F.col("lat")), y_of(F.col("lat") + tall)))))
+    rows = rows.withColumn("_w", wide(F.col("lat")))
+    at = [key(F.col("_y"), x_of(F.col("lon") + d * F.col("_w"), F.col("_n")), F.col("_n")) for d in (-1, 1)]  # cells are wider than a region
     regions = rows.select(
-        F.explode(nodes).alias("node"),
+        F.explode(F.array_distinct(F.array(*at))).alias("node"),
         F.col("event_id").alias("id_a"), F.col("entity").alias("ent_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"),
     )
-    u = (F.pmod(F.col("lon_b") - F.col("lon_a") + 180, F.lit(360.0)) - 180) / wide(F.col("lat_a"))
-    v = (F.col("lat_b") - F.col("lat_a")) / tall
+    regions = regions.repartition("node").withColumn("w", wide(F.col("lat_a")))  # once a region, after its shuffle
+    dx, dy, w = F.col("lon_b") - F.col("lon_a"), F.col("lat_b") - F.col("lat_a"), F.col("w")
+    box = (dy >= 0) & (dy <= tall) & ((F.abs(dx) <= w) | (F.abs(dx) >= 360 - w))
+    u, v = (F.pmod(dx + 180, F.lit(360.0)) - 180) / w, dy / tall
     hits = reduce(lambda a, b: a | b, [in_triangle(u, v, t, own) for t, own in template])
-    north = (F.col("lat_b") > F.col("lat_a")) | ((F.col("lat_b") == F.col("lat_a")) & (F.col("id_a") < F.col("id_b")))
+    once = (dy > 0) | (F.col("id_a") < F.col("id_b"))
     d = haversine_m("lat_a", "lon_a", "lat_b", "lon_b")
     return (
-        regions.join(found, (regions["node"] == found["node"]) & (F.col("ent_a") != F.col("ent_b")) & north & hits)
+        regions.join(found, (F.col("node") == F.col("node_b")) & box & (F.col("ent_a") != F.col("ent_b")) & once & hits)
         .withColumn("metres", d)
         .filter(F.col("metres") <= metres)
         .select(F.least("id_a", "id_b").alias("event_id_a"), F.greatest("id_a", "id_b").alias("event_id_b"), "metres")
