@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,3 +53,21 @@ def quantile_of_counts(counts: DataFrame, keys: Sequence[str], q: float, out: st
 def grouped_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, out: str = "q") -> DataFrame:
     """``keys, out, n`` for the non-null values of each key; keys without values give no row."""
     return quantile_of_counts(value_counts(df, keys, value), keys, q, out)
+
+
+def summary_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], keys: Sequence[str] = ()) -> DataFrame:
+    """``keys`` and one column per name: the quantile of each expression's non-null values; NULL where there are none.
+
+    Without keys it is one row over all of ``df``. All expressions share one pass over the rows.
+    """
+    keys = list(keys)
+    base = df if keys else df.withColumn("_all", F.lit(1))
+    group = keys or ["_all"]
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("m"), e.cast("double").alias("v")) for n, (e, _) in wanted.items()]))
+    counts = value_counts(base.select(*group, cells.alias("c")).select(*group, "c.m", "c.v"), [*group, "m"], "v")
+    out = counts.select(*group).distinct()
+    for q in dict.fromkeys(q for _, q in wanted.values()):
+        names = [n for n, (_, p) in wanted.items() if p == q]
+        part = quantile_of_counts(counts.filter(F.col("m").isin(*names)), [*group, "m"], q, "q")
+        out = out.join(part.groupBy(*group).agg(*[F.max(F.when(F.col("m") == n, F.col("q"))).alias(n) for n in names]), group, "left")
+    return out.select(*keys, *wanted)
