@@ -12,6 +12,7 @@ from trackmeter.functions.stats import mann_whitney
 from trackmeter.operators.fixes import BLANKS
 from trackmeter.operators.quantile import quantile_of_counts, summary_quantiles, value_counts
 from trackmeter.operators.tracks import consecutive_pairs, triplets
+from trackmeter.session import Written
 
 
 def decimals(text: Column) -> Column:
@@ -21,7 +22,7 @@ def decimals(text: Column) -> Column:
 
 def plain_number(c: Column) -> Column:
     """A coordinate's shortest decimal text without exponent, at most 8 places."""
-    fixed = F.regexp_replace(F.format_number(c, "0.00000000"), "0+$", "")
+    fixed = F.regexp_replace(c.cast("decimal(20,8)").cast("string"), "0+$", "")
     return F.when(F.endswith(fixed, F.lit(".")), F.concat(fixed, F.lit("0"))).otherwise(fixed)
 
 
@@ -67,6 +68,7 @@ def cadence(tracks: DataFrame, keys: Sequence[str] = (), round_to: int | None =
     group = keys or ["_all"]
     pairs = consecutive_pairs(tracks).filter("dt_s > 0")
     counts = value_counts(pairs if keys else pairs.withColumn("_all", F.lit(1)), group, "dt_s")
+    counts = Written(tracks.sparkSession).put(counts, "gaps")  # read once per statistic
     shown = F.bround("v", round_to) if round_to is not None else F.col("v")
     by_value = counts.groupBy(*group, shown.alias("g")).agg(F.sum("c").alias("c"))
     mode = by_value.groupBy(*group).agg(F.max(F.struct("c", (-F.col("g")).alias("g"))).alias("m")).select(*group, (-F.col("m.g")).alias("gap_mode_s"))

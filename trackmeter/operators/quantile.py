@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackmeter.session import Written
+
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """``keys, bucket, v, c``: equal values counted map-side, with a bucket that rises with the value."""
@@ -65,6 +67,7 @@ def summary_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], ke
     group = keys or ["_all"]
     cells = F.explode(F.array(*[F.struct(F.lit(n).alias("m"), e.cast("double").alias("v")) for n, (e, _) in wanted.items()]))
     counts = value_counts(base.select(*group, cells.alias("c")).select(*group, "c.m", "c.v"), [*group, "m"], "v")
+    counts = Written(df.sparkSession).put(counts, "counts")  # read once per quantile
     out = counts.select(*group).distinct()
     for q in dict.fromkeys(q for _, q in wanted.values()):
         names = [n for n, (_, p) in wanted.items() if p == q]

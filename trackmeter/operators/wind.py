@@ -10,6 +10,7 @@ from trackmeter.operators.corpus import sized
 from trackmeter.operators.fixes import in_blocks, with_neighbours
 from trackmeter.operators.quantile import summary_quantiles
 from trackmeter.operators.tracks import islands, seconds
+from trackmeter.session import Written
 
 PAYLOAD = ["lat", "lon", "altitude_gps_m", "t"]
 
@@ -48,7 +49,7 @@ def spirals(
     before each turn, so the first may span a gap); airspeed: the mean speed against it. Runs whose wind
     is 40 m/s or more, or airspeed outside 2 to 30 m/s, are left out.
     """
-    d = turn_rates(tracks, least_fixes)
+    d = Written(tracks.sparkSession).put(turn_rates(tracks, least_fixes), "rates")
     turning = F.coalesce((F.abs("rate") > rate_deg_s) & (F.col("dt") == 1), F.lit(False))
     d = d.withColumn("turning", turning).withColumn("way", F.signum("rate"))
     n = with_neighbours(
