@@ -359,7 +359,7 @@ ORACLES = {
       sum(coalesce(v < 0, false)::int) negative_speed from r1 group by 1) select *, no_position + off_globe + negative_speed = 0 ok from c""",
     "guard_flag_total": f"with {PAIRS} select sum(flagged::int) by_device, sum(flagged::int) by_rank from ip",
     "triplet_excursions": f"with {_TRIP} select a entity, count(*) triplets, round(max(x), 2) greatest_m from tp group by 1",
-    "seconds_deduplicated": f"with {DATED} select a entity, count(distinct t // 1000000) "seconds" from tr group by 1",
+    "seconds_deduplicated": f"""with {DATED} select a entity, count(distinct t // 1000000) "seconds" from tr group by 1""",
     "devices_near_start": f"""with {DATED}, f as (select a, first(la order by t, e, la, lo) la, first(lo order by t, e, la, lo) lo, {ORIGIN[0]} qla, {ORIGIN[1]} qlo from tr group by 1)
       select a entity, round({dist("", "q")}, 2) metres from f""",
     "tag_batches": f"with {BATCH} select a entity, batch from ba",
