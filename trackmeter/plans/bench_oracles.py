@@ -296,7 +296,7 @@ ORACLES = {
       quantile_cont(acc_m, 0.5) acc_median_m, round(quantile_cont(sigma_m, 0.5) / nullif(quantile_cont(acc_m, 0.5), 0), 3) ratio from sw group by 1""",
     "declared_accuracy": f"""with {STILL} select {_CLASS} "class", count(*) n, quantile_cont(acc_m, 0.5) acc_m, round(quantile_cont(sigma_m, 0.5), 3) sigma_m,
       round(quantile_cont(sigma_m, 0.9), 3) sigma_p90_m, round(quantile_cont(sigma_m, 0.5) / quantile_cont(acc_m, 0.5), 3) ratio from sw where acc_m is not null and acc_m > 0 group by 1""",
-    "declared_rank_correlation": f"""with {STILL}, rk as (select {_AVG_RANK.format("acc_m")} ra, {_AVG_RANK.format("sigma_m")} rb from sw where acc_m is not null)
+    "declared_rank_correlation": f"""with {STILL}, rk as (select {_AVG_RANK.format("acc_m")} ra, {_AVG_RANK.format("sigma_m")} rb from (select acc_m, round(sigma_m, 6) sigma_m from sw) where acc_m is not null)
       select round(corr(ra, rb), 4) rho, count(*) n from rk""",
     "constant_fields": f"""with {DATED} select f field, n n_values, n = 1 "constant" from (select unnest(['sensor', 'argos_lc', 'x_type_of_fix']) f,
       unnest([count(distinct sensor) + max((sensor is null)::int), count(distinct lc) + max((lc is null)::int), 1]) n from tr)""",

@@ -238,7 +238,7 @@ def declared_accuracy(spark, d):
 
 
 def declared_rank_correlation(spark, d):
-    return rounded(noise.declared_rank_correlation(_windows(spark, d)), rho=4)
+    return rounded(noise.declared_rank_correlation(rounded(_windows(spark, d), sigma_m=6)), rho=4)
 
 
 def constant_fields(spark, d):
