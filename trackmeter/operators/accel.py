@@ -142,7 +142,7 @@ def spectra(framed: DataFrame, keys: list[str], size: int) -> DataFrame:
             p = np.abs(np.fft.rfft(seg[keep] * window, axis=1)) ** 2
             p = p / p.sum(axis=1, keepdims=True)
             out = pdf.loc[keep, [*keys, "frame"]].copy()
-            out["power"] = list(p)
+            out["power"] = pd.Series(list(p), index=out.index, dtype=object)
             yield out
 
     from pyspark.sql.types import ArrayType, DoubleType
