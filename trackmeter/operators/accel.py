@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackmeter.operators.fixes import in_blocks, with_neighbours
 from trackmeter.operators.quantile import summary_quantiles
-from trackmeter.operators.tracks import first_per_second, seconds
+from trackmeter.operators.tracks import first_per_second, islands, seconds
 
 STANDARD_GRAVITY = 9.80665
 #: left-closed speed classes, m/s
@@ -116,10 +117,10 @@ def speed_class(v: Column) -> Column:
 
 
 def stretches(bursts: DataFrame) -> DataFrame:
-    """Adds ``stretch``: bursts of one device at consecutive seconds share one; one burst a second."""
-    d = first_per_second(bursts)
-    w = Window.partitionBy("entity").orderBy("tsec")
-    return d.withColumn("stretch", F.col("tsec") - F.row_number().over(w))
+    """``entity, event_id, ts_us, tsec, stretch``: bursts of one device at consecutive seconds share a stretch; one burst a second."""
+    d = with_neighbours(in_blocks(first_per_second(bursts), ["tsec"]), ["tsec"], before=1)
+    d = islands(d, F.col("p1_tsec").isNull() | (F.col("tsec") - F.col("p1_tsec") != 1))
+    return d.select("entity", "event_id", "ts_us", "tsec", F.col("island").alias("stretch"))
 
 
 def frames(signal: DataFrame, keys: list[str], size: int = 96, hop: int = 48) -> DataFrame:

@@ -45,14 +45,19 @@ def project(df: DataFrame) -> DataFrame | None:
     return None if m is None else df.select(*[F.col(f"`{src}`").alias(dst) for dst, (src, _) in m.items()])
 
 
-def device_report(tracks: DataFrame, order: str = "event_id", derived_share: float = 0.99) -> DataFrame:
+def device_report(tracks: DataFrame, order: str = "event_id", width: int = 1_000_000) -> DataFrame:
     """Rules by device: ``entity, n, no_position, off_globe, backwards, negative_speed, ok``.
 
-    backwards: fixes whose time is before that of the fix preceding them in ``order`` (delivery or file
-    order), found by a running maximum of time. A device is ok if it breaks no rule.
+    backwards: fixes whose time is before that of some fix preceding them in ``order`` (a whole number
+    that gives delivery or file order), found by a running maximum of time within blocks of ``width``
+    numbers and over the blocks' maxima. A device is ok if it breaks no rule.
     """
-    w = Window.partitionBy("entity").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    d = tracks.withColumn("_before", F.max("ts_us").over(w))
+    d = tracks.withColumn("_blk", F.floor(F.col(order) / width))
+    own = Window.partitionBy("entity", "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = Window.partitionBy("entity").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    tops = d.groupBy("entity", "_blk").agg(F.max("ts_us").alias("_top")).select("entity", "_blk", F.max("_top").over(blocks).alias("_top"))
+    d = d.withColumn("_own", F.max("ts_us").over(own)).join(tops, ["entity", "_blk"])
+    d = d.withColumn("_before", F.greatest("_own", "_top"))
     n = lambda cond: F.sum(F.coalesce(cond, F.lit(False)).cast("int"))
     r = d.groupBy("entity").agg(
         F.count(F.lit(1)).alias("n"),

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackmeter.functions.geo import haversine_m
-from trackmeter.operators.fixes import entity_key
+from trackmeter.operators.fixes import entity_key, in_blocks, with_neighbours
 from trackmeter.operators.quantile import grouped_quantile
 from trackmeter.operators.tracks import gap_bursts, seconds
 
-MOST_ENTITIES = 1_000_000
-
 
 def batches(reference: DataFrame, first_serials: int = 100) -> DataFrame:
     """``entity, batch`` from animal and tag ids (two letters and a serial); one row an animal.
@@ -104,9 +102,9 @@ def first_fix_delays(pairs: DataFrame, reference: DataFrame, period_s: int = 120
 
     Delays are whole seconds within a fixed span, so their quartiles need few distinct values a group.
     """
-    w = Window.partitionBy("entity").orderBy("start_us", "start_id")
-    first = pairs.filter("start_rank = 0").withColumn("_t", seconds("start_us"))
-    delay = F.col("_t") - F.lag("_t").over(w) - period_s
+    first = pairs.filter("start_rank = 0").select("entity", F.col("start_us").alias("ts_us"), F.col("start_id").alias("event_id"), "burst_size")
+    first = with_neighbours(in_blocks(first, ["burst_size"]), ["burst_size"], before=1)
+    delay = seconds("ts_us") - seconds("p1_ts_us") - period_s
     d = with_batch(first.withColumn("delay", delay).filter(F.col("delay").between(low_s, high_s)), reference)
     q = F.expr("percentile(delay, array(0.25, 0.5, 0.75))")
     return (

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackmeter.functions.geo import local_xy
 from trackmeter.functions.stats import spearman
+from trackmeter.operators.fixes import in_blocks, with_neighbours
 from trackmeter.operators.quantile import grouped_quantile, summary_quantiles
 from trackmeter.operators.tracks import first_per_second
 
@@ -97,9 +98,14 @@ def device_pairs(tracks: DataFrame, lat0: float, lon0: float, near_m: float = 10
     m = m.select(F.col("entity_a").alias("a"), F.col("entity_b").alias("b"), "tsec", (F.col("x_a") - F.col("x_b")).alias("rx"), (F.col("y_a") - F.col("y_b")).alias("ry"))
     many = m.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_all")).filter(F.col("n_all") >= least).select("a", "b")
     d = m.join(many, ["a", "b"], "left_semi").withColumn("d", F.hypot("rx", "ry")).filter(F.col("d") < near_m)
-    w = Window.partitionBy("a", "b").orderBy("tsec")
-    second = lambda c: F.col(c) - 2 * F.lag(c, 1).over(w) + F.lag(c, 2).over(w)
-    d = d.withColumns({"dx": second("rx"), "dy": second("ry"), "span": F.col("tsec") - F.lag("tsec", 2).over(w)})
+    # a pair of devices is an entity of its own, in blocks of time like any other
+    d = d.withColumns({"entity": F.concat_ws("\u0001", "a", "b"), "event_id": F.col("tsec"), "ts_us": F.col("tsec") * 1_000_000})
+    d = with_neighbours(in_blocks(d, ["rx", "ry", "d"]), ["rx", "ry"], before=2)
+    second = lambda c: F.col(c) - 2 * F.col(f"p1_{c}") + F.col(f"p2_{c}")
+    d = d.withColumns(
+        {"a": F.split_part("entity", F.lit("\u0001"), F.lit(1)), "b": F.split_part("entity", F.lit("\u0001"), F.lit(2)),
+         "dx": second("rx"), "dy": second("ry"), "span": F.col("event_id") - F.col("p2_event_id")}
+    )
     use = (F.col("span") == 2) if contiguous else F.lit(True)
     stats = d.groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("n_seconds"), F.var_pop(F.when(use, F.col("dx"))).alias("vx"), F.var_pop(F.when(use, F.col("dy"))).alias("vy")

@@ -7,17 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackmeter.functions.stats import value_bucket
 from trackmeter.session import Written
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """``keys, bucket, v, c``: equal values counted map-side, with a bucket that rises with the value."""
     v = F.col(value).cast("double")
-    size = F.floor(F.log2(F.abs(v) + F.lit(1e-3)) * 32).cast("int") + 400
-    bucket = F.when(v < 0, -size).otherwise(size)
     return (
         df.filter(v.isNotNull())
-        .select(*keys, bucket.alias("bucket"), v.alias("v"))
+        .select(*keys, value_bucket(v).alias("bucket"), v.alias("v"))
         .groupBy(*keys, "bucket", "v")
         .agg(F.count(F.lit(1)).alias("c"))
     )

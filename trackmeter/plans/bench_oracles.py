@@ -304,9 +304,9 @@ ORACLES = {
     "battery_slopes": f"with {_DAYS} select entity, count(*) n_days, null::double sag_slope, round(regr_slope(rest_mv, \"day\"), 4) rest_slope from bd group by 1 having count(*) >= 7",
     "device_pairs": f"""with {DATED}, sx as (select a, s, {_XY} from (select *, t // 1000000 s, row_number() over (partition by a, t // 1000000 order by t, e) r from tr) where r = 1),
       m as (select p.a a, q.a b, p.s s, p.x - q.x rx, p.y - q.y ry, count(*) over (partition by p.a, q.a) c from sx p join sx q on p.s = q.s and p.a < q.a),
-      n as (select *, sqrt(rx * rx + ry * ry) d from m where c >= 10 and sqrt(rx * rx + ry * ry) < 1e5),
+      n as (select *, sqrt(rx * rx + ry * ry) d from m where c >= 3 and sqrt(rx * rx + ry * ry) < 2e6),
       w2 as (select *, rx - 2 * lag(rx) over w + lag(rx, 2) over w dx, ry - 2 * lag(ry) over w + lag(ry, 2) over w dy from n window w as (partition by a, b order by s)),
-      st as (select a, b, count(*) n_seconds, quantile_cont(d, 0.5) dm, sqrt((var_pop(dx) + var_pop(dy)) / 12) sg from w2 group by 1, 2 having count(*) >= 10)
+      st as (select a, b, count(*) n_seconds, quantile_cont(d, 0.5) dm, sqrt((var_pop(dx) + var_pop(dy)) / 12) sg from w2 group by 1, 2 having count(*) >= 3)
       select a, b, n_seconds, round(dm, 1) dist_median_m, round(sg, 1) sigma_rel_m, round(sg / sqrt(2), 1) sigma_each_m from st""",
     "acc_features": f"""with {SAMPLES}, nm as (select x.e event_id, avg(sqrt(pow(x - ax_mean, 2) + pow(y - ay_mean, 2) + pow(z - az_mean, 2))) norm_mean from xyz x join mn on x.e = mn.event_id group by 1)
       select mn.event_id, entity, n_samples, {", ".join(f"round({c}, 3) {c}" for c in ("ax_mean", "ay_mean", "az_mean", "ax_std", "ay_std", "az_std", "norm_abs_mean", "norm_mean"))} from mn join nm using (event_id)""",
@@ -363,7 +363,8 @@ ORACLES = {
     "devices_near_start": f"""with {DATED}, f as (select a, first(la order by t, e, la, lo) la, first(lo order by t, e, la, lo) lo, {ORIGIN[0]} qla, {ORIGIN[1]} qlo from tr group by 1)
       select a entity, round({dist("", "q")}, 2) metres from f""",
     "tag_batches": f"with {BATCH} select a entity, batch from ba",
-    "devices_without_reference": f"""with {DATED}, {BATCH} select distinct a entity from tr where a not in (select a from ba)""",
+    "devices_without_fixes": f"""with {DATED} select distinct {_KEY} entity from acc_records where "event-id" is not null and "individual-local-identifier" is not null
+      and "timestamp" is not null and {_KEY} not in (select a from tr)""",
 }
 
 _PTS = f"""{PAIRS}, ff as ({_FIRST}), vz as (select tr.*, ff.e is not null flagged from tr left join ff using (e) where vis), {pairs("vz", "vp")}, {runs("vp", "sg", 21600)}"""

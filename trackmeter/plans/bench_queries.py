@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from trackmeter.functions.geo import haversine_m, utm
 from trackmeter.operators import accel, bursts, conformance, corpus, declare, export, fence, fleet, noise, sheets, wind
 from trackmeter.operators.drift import headers, split_line
-from trackmeter.operators.fixes import dated_records, entity_key
+from trackmeter.operators.fixes import dated_records
 from trackmeter.operators.packed import all_bursts
 from trackmeter.operators.tracks import consecutive_pairs, first_per_second, gap_bursts, track_table, triplets, unmarked
 from trackmeter.session import Written
@@ -255,8 +255,8 @@ def battery_slopes(spark, d):
 
 
 def device_pairs(spark, d):
-    """Devices within 100 km at the same second, at least 10 such seconds (5,000 within 100 m elsewhere)."""
-    p = noise.device_pairs(_tracks(spark, d), *ORIGIN, near_m=1e5, least=10, most=1_000_000)
+    """Devices within 2,000 km at the same second, at least 3 such seconds (elsewhere 5,000 within 100 m)."""
+    p = noise.device_pairs(_tracks(spark, d), *ORIGIN, near_m=2e6, least=3, most=1_000_000)
     return rounded(p, dist_median_m=1, sigma_rel_m=1, sigma_each_m=1)
 
 
@@ -540,10 +540,10 @@ def tag_batches(spark, d):
     return fleet.batches(Tables(spark, d).tag_reference)
 
 
-def devices_without_reference(spark, d):
-    t = Tables(spark, d)
-    ref = t.tag_reference.select(entity_key(F.col("`animal-id`")).alias("entity")).dropna().distinct()
-    return _tracks(spark, d).select("entity").distinct().join(ref, "entity", "left_anti")
+def devices_without_fixes(spark, d):
+    """Animals with acceleration bursts but no placed fix (an anti-join)."""
+    acc = dated_records(Tables(spark, d).acc_records).select("entity").distinct()
+    return acc.join(_tracks(spark, d).select("entity").distinct(), "entity", "left_anti")
 
 
 _HELPERS = {"r", "rounded"}
