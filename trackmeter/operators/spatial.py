@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmeter.functions.geo import EARTH_RADIUS_M, haversine_m
@@ -134,6 +134,13 @@ def regions_of_points(points: DataFrame, regions: DataFrame, point_key: str = "p
     return pts.join(boxes, ["level", "node"]).filter(hit).select(point_key, region_key)
 
 
+def packs(df: DataFrame, node: str, entity: str, columns: Sequence[str], name: str, most: int = 256) -> DataFrame:
+    """``node, entity, name``: the rows of each node and entity in arrays of at most ``most`` structs; one shuffle by node."""
+    w = Window.partitionBy(node, entity).orderBy(columns[0])
+    d = df.repartition(node).withColumn("_pack", F.floor((F.row_number().over(w) - 1) / most))
+    return d.groupBy(node, entity, "_pack").agg(F.collect_list(F.struct(*columns)).alias(name)).drop("_pack")
+
+
 def near_pairs(fixes: DataFrame, metres: float = 30.0, roomy: float = 2.0) -> DataFrame:
     """``event_id_a < event_id_b, metres`` of placed records of two entities at most ``metres`` apart.
 
@@ -144,6 +151,10 @@ def near_pairs(fixes: DataFrame, metres: float = 30.0, roomy: float = 2.0) -> Da
     looked up in one node only; towards the poles a row has fewer cells, down to one. Longitudes wrap.
     Points found in a triangle are tested by great-circle distance.
 
+    An entity may stay in one node for most of the table, and its own records never pair. So a node's
+    points and regions meet as packs of up to 256 of one entity: what one entity brings to a node meets
+    itself as packs only, and packs of two entities alone are opened.
+
     Nulls, and readings beyond the globe or at 0, 0, pair with nothing. Copies of an event-id: one.
     Two records of one entity never pair. Empty input: no rows.
     """
@@ -176,7 +187,11 @@ def near_pairs(fixes: DataFrame, metres: float = 30.0, roomy: float = 2.0) -> Da
         F.explode(F.array_distinct(F.array(*at))).alias("node"),
         F.col("event_id").alias("id_a"), F.col("entity").alias("ent_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"),
     )
-    regions = regions.repartition("node").withColumn("w", wide(F.col("lat_a")))  # once a region, after its shuffle
+    a = packs(regions, "node", "ent_a", ["id_a", "lat_a", "lon_a"], "as")
+    b = packs(found, "node_b", "ent_b", ["id_b", "lat_b", "lon_b"], "bs")
+    meet = a.join(b, (F.col("node") == F.col("node_b")) & (F.col("ent_a") != F.col("ent_b"))).select("as", "bs")
+    pairs = meet.select(F.explode("as").alias("a"), "bs").select("a.*", "bs").withColumn("w", wide(F.col("lat_a")))
+    pairs = pairs.select("id_a", "lat_a", "lon_a", "w", F.explode("bs").alias("b")).select("*", "b.*")
     dx, dy, w = F.col("lon_b") - F.col("lon_a"), F.col("lat_b") - F.col("lat_a"), F.col("w")
     box = (dy >= 0) & (dy <= tall) & ((F.abs(dx) <= w) | (F.abs(dx) >= 360 - w))
     u, v = (F.pmod(dx + 180, F.lit(360.0)) - 180) / w, dy / tall
@@ -184,7 +199,7 @@ def near_pairs(fixes: DataFrame, metres: float = 30.0, roomy: float = 2.0) -> Da
     once = (dy > 0) | (F.col("id_a") < F.col("id_b"))
     d = haversine_m("lat_a", "lon_a", "lat_b", "lon_b")
     return (
-        regions.join(found, (F.col("node") == F.col("node_b")) & box & (F.col("ent_a") != F.col("ent_b")) & once & hits)
+        pairs.filter(box & once & hits)
         .withColumn("metres", d)
         .filter(F.col("metres") <= metres)
         .select(F.least("id_a", "id_b").alias("event_id_a"), F.greatest("id_a", "id_b").alias("event_id_b"), "metres")
