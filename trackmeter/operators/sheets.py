@@ -18,6 +18,7 @@ def duration_text(s: Column) -> Column:
     )
 
 
+#: fixed values below: the wording of the readings and their limits
 def readings(quality: DataFrame) -> DataFrame:
     """Adds ``read_spikes, read_repeats, read_grain`` and ``limits``, an array of what the data do not support."""
     p, q, d, m, r = (F.col(c) for c in ("pct_spikes", "pct_repeated", "decimals_lat", "least_step_m", "regular_pct"))

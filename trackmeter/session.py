@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -46,7 +48,10 @@ class Written:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+        folder = shared_folder(spark)
+        self.root = f"{folder}/written-{uuid.uuid4().hex}"
+        if not spark.conf.get("spark.checkpoint.dir", ""):  # our own local folder: nobody else clears it
+            atexit.register(shutil.rmtree, self.root.removeprefix("file://"), ignore_errors=True)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
