@@ -96,7 +96,8 @@ def islands(df: DataFrame, breaks: Column) -> DataFrame:
     side) comes from a table with one row a block, so a run may span any number of blocks.
     """
     w = block_window("ts_us", "event_id")
-    ahead = w.rowsBetween(1, Window.unboundedFollowing)
+    # what lies ahead is a running frame over the opposite order: a frame that ends unbounded costs n squared
+    ahead = block_window(F.desc("ts_us"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     d = df.withColumn("_brk", F.coalesce(breaks, F.lit(True)).cast("int")).withColumn("_row", F.row_number().over(w))
     at = F.when(F.col("_brk") == 1, F.col("_row"))
@@ -104,7 +105,8 @@ def islands(df: DataFrame, breaks: Column) -> DataFrame:
         F.count(F.lit(1)).alias("_rows"), F.sum("_brk").alias("_brks"), F.max(at).alias("_last"), F.min(at).alias("_first")
     )
     b = Window.partitionBy("entity").orderBy("blk")
-    before, after = b.rowsBetween(Window.unboundedPreceding, -1), b.rowsBetween(1, Window.unboundedFollowing)
+    before = b.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("entity").orderBy(F.desc("blk")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     blocks = blocks.select(
         "entity",
@@ -112,7 +114,7 @@ def islands(df: DataFrame, breaks: Column) -> DataFrame:
         "_off",
         F.coalesce(F.sum("_brks").over(before), F.lit(0)).alias("_boff"),
         F.coalesce(F.last(F.col("_last") + F.col("_off"), True).over(before), F.lit(1)).alias("_prev"),
-        F.coalesce(F.first(F.col("_first") + F.col("_off"), True).over(after), F.sum("_rows").over(Window.partitionBy("entity")) + 1).alias("_next"),
+        F.coalesce(F.last(F.col("_first") + F.col("_off"), True).over(after), F.sum("_rows").over(Window.partitionBy("entity")) + 1).alias("_next"),
     )
     d = d.withColumns({"_runs": F.sum("_brk").over(so_far), "_begin": F.max(at).over(so_far), "_end": F.min(at).over(ahead)})
     d = d.join(blocks, ["entity", "blk"])
