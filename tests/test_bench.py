@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tests.conftest import at
 from trackmeter import sinks
 from trackmeter.functions.stats import mann_whitney, spearman, upper_tail, wilson
-from trackmeter.operators import accel, bursts, conformance, corpus, declare, export, fence, fleet, noise, sheets, wind
+from trackmeter.operators import accel, bursts, conformance, corpus, declare, drift, export, fence, fleet, noise, sheets, wind
 from trackmeter.operators.tracks import track_table, unmarked
 from trackmeter.sources import exports, shapes
 from trackmeter.streaming.bursts import gap_sessions
@@ -213,6 +213,38 @@ def test_guards_can_fail(spark):
     assert [(r.warning, r.n) for r in conformance.top_warnings(warn).collect()] == [("q", 2), ("p", 1)]
 
 
+def test_every_value_of_a_file_is_looked_at(spark):
+    head = "timestamp,location-lat,location-long,ground-speed,height-above-msl,height-above-ellipsoid"
+    body = {
+        "clean": ["2020-01-01 00:00:00,1,2,3.5,x,7", "01/02/2020 10:11:12,1,2,,,NaN", "2020-01-01T00:00:00Z,1,2,1e-3,,"],
+        "comma": ['2020-01-01 00:00,1,2,"5,11",,7'],
+        "unit": ["2020-01-01 00:00,1,2,3,,1060.2 m"],
+        "time": ["soon,1,2,3,,7", "10:11:12,1,2,3,,7"],
+        "globe": ["2020-01-01 00:00:00,91,2,3,,7", "2020-01-01 00:00:00,-1,181,3,,7"],
+        "short": ["2020-01-01 00:00:00,1,2"],
+        "long": ["2020-01-01 00:00:00,1,2,3,,7,8"],
+        "cut": ["2020-01-01 00:00:00,1,2,3,,7"],
+    }
+    lines = [(f, i, x) for f, b in body.items() for i, x in enumerate([head, *b])] + [("scope", 0, "timestamp,place"), ("scope", 1, "t,p"), ("bare", 1, "1,2")]
+    files = [(f, len(b) + (f == "cut")) for f, b in body.items()] + [("scope", 1), ("bare", 1), ("gone", 3)]
+    df = spark.createDataFrame(lines, "file_id string, line_no int, line string")
+    heads = drift.headers(df, spark.createDataFrame([("timestamp", "text")], "field string, value_type string"))
+    rep = conformance.file_report(df, drift.parsed(df, heads), heads, spark.createDataFrame(files, "file_id string, n_records int"))
+    assert {r.file_id: (r.status, r.errors, r.detail) for r in rep.collect()} == {
+        "clean": ("conformant", 0, None),
+        "comma": ("conversion failed", 1, "1 values that do not cast"),
+        "unit": ("conversion failed", 1, "1 values that do not cast"),
+        "time": ("conversion failed", 2, "2 unreadable times"),
+        "globe": ("non-conformant", 2, "2 points off the globe"),
+        "short": ("non-conformant", 1, "1 short lines"),
+        "long": ("conversion failed", 1, "1 long lines"),
+        "cut": ("damaged archive", 0, "1 of 2 lines"),
+        "scope": ("out of scope", 0, "neither time nor position among the columns"),
+        "bare": ("unreadable", 0, "no header line"),
+        "gone": ("damaged archive", 0, "0 of 3 lines"),
+    }
+
+
 def test_sheets(spark):
     q = spark.createDataFrame(
         [("t", 0.06, 6.0, 4, 11.1, 50.0, 100, 3, 10.0, 89.0, 5400.0, 172800.0), ("u", 0.0, 0.0, 6, 0.1, 99.0, 100, 3, 10.0, 90.0, 5399.0, None)],

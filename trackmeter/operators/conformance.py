@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 import trackmeter
+from trackmeter.sources.exports import mixed_timestamp
 
 #: fixed values: export columns, the pivot column they stand for and its unit, in order of preference
 CANON = (
@@ -25,6 +26,10 @@ CANON = (
     ("individual-local-identifier", "device_id", None),
 )
 
+#: fixed values: words that stand for a missing value, and what a number looks like
+MISSING = ("na", "n/a", "#n/a", "nan", "null", "none")
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+
 
 class GuardError(AssertionError):
     """Two figures that must agree do not, or a file breaks a rule: nothing is published."""
@@ -134,6 +139,65 @@ def conformance_status(readable: Column, intact: Column, in_scope: Column, conve
     )
 
 
+def file_report(raw: DataFrame, lines: DataFrame, heads: DataFrame, files: DataFrame) -> DataFrame:
+    """``file_id, status, errors, n_lines, detail``: every file of ``files`` and ``raw``, every canonical value looked at.
+
+    ``raw`` (``file_id, line_no, line``) are the lines, ``lines`` (``file_id, names, vals``) those under a
+    header, parsed, with blank values null; ``heads`` (``file_id, names``) has the files with a header;
+    ``files`` has ``file_id, n_records``. Of headers that stand for
+    one pivot column the first present of ``CANON`` counts, under its exact name.
+
+    Errors are lines of another length than the header, values that do not cast to a number, unreadable
+    times and coordinates off the globe. A value or time that does not cast, or a line longer than its
+    header, stops the conversion. A file with fewer lines than ``n_records`` is cut, hence damaged; one
+    without header is unreadable.
+    """
+    low = lambda x: F.when(~F.lower(x).isin(*MISSING), x)
+    places: dict[str, Column] = {}
+    for src, dst, _ in CANON:
+        at = F.nullif(F.array_position("names", F.lit(src)).cast("int"), F.lit(0))
+        places[dst] = F.coalesce(places[dst], at) if dst in places else at
+    text = {dst: low(F.get("vals", at - 1)) for dst, at in places.items()}
+    numbers = [dst for dst in text if dst not in ("ts", "device_id")]
+    number = {dst: F.when(text[dst].rlike(NUMBER), text[dst].try_cast("double")) for dst in numbers}
+    dated = text["ts"].rlike("^[0-9]{1,4}[-/]") & mixed_timestamp(text["ts"]).isNotNull()
+    n = lambda cond: F.sum(F.coalesce(cond, F.lit(False)).cast("int"))
+    uncast = sum((text[dst].isNotNull() & number[dst].isNull()).cast("int") for dst in numbers)
+    sizes = raw.groupBy("file_id").agg(n((F.col("line_no") > 0) & F.col("line").isNotNull()).alias("n_lines"))
+    body = lines.groupBy("file_id").agg(
+        n(F.size("vals") < F.size("names")).alias("short"),
+        n(F.size("vals") > F.size("names")).alias("long"),
+        F.sum(uncast).alias("uncast"),
+        n(text["ts"].isNotNull() & ~dated).alias("undated"),
+        n((F.abs(number["lat"]) > 90) | (F.abs(number["lon"]) > 180)).alias("off_globe"),
+    )
+    core = F.lit(True)
+    for src, dst, _ in CANON:
+        if dst in ("ts", "lat", "lon"):
+            core = core & F.array_contains("names", F.lit(src))
+    listed = files.groupBy("file_id").agg(F.max("n_records").alias("n_records"))
+    d = sizes.join(listed, "file_id", "full").join(heads.select("file_id", core.alias("in_scope")), "file_id", "left").join(body, "file_id", "left")
+    d = d.filter("file_id is not null").fillna(0, ["n_lines", "short", "long", "uncast", "undated", "off_globe"])
+    d = d.withColumns(
+        {
+            "errors": F.when(F.col("in_scope"), F.col("short") + F.col("long") + F.col("uncast") + F.col("undated") + F.col("off_globe")).otherwise(0),
+            "intact": F.col("n_lines") >= F.coalesce("n_records", F.lit(0)),
+            "readable": F.col("in_scope").isNotNull(),
+        }
+    )
+    part = lambda c, what: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {what}")))
+    named = {"short": "short lines", "long": "long lines", "uncast": "values that do not cast", "undated": "unreadable times", "off_globe": "points off the globe"}
+    found = F.concat_ws(", ", *[part(c, what) for c, what in named.items()])
+    detail = (
+        F.when(~F.col("intact"), F.concat_ws(" of ", F.col("n_lines").cast("string"), F.concat(F.col("n_records").cast("string"), F.lit(" lines"))))
+        .when(~F.col("readable"), "no header line")
+        .when(~F.col("in_scope"), "neither time nor position among the columns")
+        .when(F.col("errors") > 0, found)
+    )
+    status = conformance_status(F.col("readable"), F.col("intact"), F.col("in_scope"), F.col("long") + F.col("uncast") + F.col("undated") == 0, F.col("errors"))
+    return d.select("file_id", status.alias("status"), "errors", "n_lines", detail.alias("detail"))
+
+
 def status_counts(files: DataFrame) -> DataFrame:
     return files.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 

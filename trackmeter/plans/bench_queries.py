@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trackmeter.functions.geo import haversine_m, utm
 from trackmeter.operators import accel, bursts, conformance, corpus, declare, export, fence, fleet, noise, sheets, wind
-from trackmeter.operators.drift import headers, split_line
+from trackmeter.operators.drift import headers, parsed
 from trackmeter.operators.fixes import dated_records
 from trackmeter.operators.packed import all_bursts
 from trackmeter.operators.tracks import consecutive_pairs, first_per_second, gap_bursts, track_table, triplets, unmarked
@@ -467,14 +467,7 @@ def device_rules(spark, d):
 def _file_conformance(spark, d):
     t = Tables(spark, d)
     heads = headers(t.export_lines, t.field_dictionary)
-    body = t.export_lines.filter("line_no > 0 and line is not null").join(heads.select("file_id", "delimiter", "names", "exact"), "file_id")
-    short = (F.size(split_line(F.col("line"), F.col("delimiter"))) < F.size("names")).cast("int")
-    f = body.groupBy("file_id").agg(F.sum(short).alias("errors"), F.first("exact").alias("exact"), F.count(F.lit(1)).alias("n_lines"))
-    core = F.array_contains("exact", "timestamp") & F.array_contains("exact", "location-lat") & F.array_contains("exact", "location-long")
-    yes = F.lit(True)
-    status = conformance.conformance_status(yes, yes, core, yes, F.col("errors"))
-    detail = F.when(F.col("errors") > 0, F.concat(F.col("errors").cast("string"), F.lit(" short lines")))
-    return f.select("file_id", status.alias("status"), "errors", "n_lines", detail.alias("detail"))
+    return conformance.file_report(t.export_lines, parsed(t.export_lines, heads), heads, t.export_files)
 
 
 def file_conformance(spark, d):
