@@ -9,11 +9,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import at
+from tests.conftest import FIX, at
 from trackmeter import sinks
 from trackmeter.functions.stats import mann_whitney, spearman, upper_tail, wilson
 from trackmeter.operators import accel, bursts, conformance, corpus, declare, drift, export, fence, fleet, noise, sheets, wind
 from trackmeter.operators.tracks import track_table, unmarked
+from trackmeter.plans import bench_queries
 from trackmeter.sources import exports, shapes
 from trackmeter.streaming.bursts import gap_sessions
 
@@ -257,6 +258,25 @@ def test_sheets(spark):
     assert "90 min" in got["u"].sheet and "unknown" in got["u"].sheet and "not declared" in got["u"].sheet
 
 
+def test_grain_by_device_is_not_hidden_by_one_fine_fix(spark):
+    rows = [(i, "cut", i, 1 + i * 0.001, 1) for i in range(9)] + [(20, "cut", 20, 1.1234567, 1)]
+    rows += [(30, "one", 0, 1.5, 1), (40, "even", 0, 1.25, 1), (41, "even", 1, 1.123456, 1)]
+    got = {r.entity: (r.decimals_lat, r.least_step_m and round(r.least_step_m, 3)) for r in corpus.grain_by_device(tracks(spark, rows)).collect()}
+    assert got == {"cut": (3, 111.32), "one": (1, None), "even": (4, 14086.878)}
+    kinds = "entity string, pct_spikes double, pct_repeated double, decimals_lat int, least_step_m double, regular_pct double"
+    df = spark.createDataFrame([("cut", 0.0, 0.0, 3, 111.32, 99.0), ("one", 0.0, 0.0, 1, None, 99.0)], kinds)
+    read = {r.entity: (r.read_grain, r.limits) for r in sheets.readings(df).collect()}
+    assert read["cut"] == ("truncated at export, grid of about 111 m", ["Any analysis finer than 111 m"])
+    assert read["one"] == ("truncated at export, grid of about unknown size", ["Any analysis finer than unknown size"])
+
+
+def test_sheets_show_the_median_grain(spark, tmp_path):
+    rows = [(i, at(i * 600), 1 + (i % 7) * 0.001 if i != 5 else 1.1234567, 2.0, "a", at(10**6)) for i in range(12)]
+    spark.createDataFrame(rows, FIX).write.parquet(str(tmp_path / "position_fixes.parquet"))
+    sheet = bench_queries.quality_sheets(spark, str(tmp_path)).first().sheet
+    assert "| Coordinate grain | 3 decimals, truncated at export, grid of about 111 m |" in sheet
+
+
 def test_sources_sinks_and_export(spark, tmp_path):
     head = "timestamp,location-lat,location-long,individual-local-identifier,sensor-type,event-id"
     body = [f"2020-01-01 00:{i:02d}:00.000,{1 + i / 1000},2.0,Ann,gps,{i}" for i in range(30)] + ["short,line"]

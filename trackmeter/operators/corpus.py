@@ -101,6 +101,15 @@ def grain(tracks: DataFrame) -> DataFrame:
     return middle.crossJoin(least)  # one row each
 
 
+def grain_by_device(tracks: DataFrame) -> DataFrame:
+    """``entity, decimals_lat, least_step_m``: as ``grain``, for each entity's own fixes; NULL step if its latitude never changes."""
+    digits = tracks.groupBy("entity", decimals(plain_number(F.col("lat"))).cast("double").alias("d")).agg(F.count(F.lit(1)).alias("c"))
+    middle = quantile_of_counts(digits.select("entity", F.lit(0).alias("bucket"), F.col("d").alias("v"), "c"), ["entity"], 0.5, "decimals_lat")
+    step = F.abs(F.col("lat") - F.col("p1_lat"))
+    least = consecutive_pairs(tracks).filter(step > 0).groupBy("entity").agg((F.min(step) * METRES_PER_DEGREE).alias("least_step_m"))
+    return middle.select("entity", F.floor("decimals_lat").cast("int").alias("decimals_lat")).join(least, "entity", "left")
+
+
 def measure(tracks: DataFrame, factor: float = 10.0, least: int = 50) -> DataFrame:
     """The quality row of one dataset: size, span, cadence, repeats, spikes, grain. Empty tracks give NULL measures."""
     span = (F.max("ts_us") - F.min("ts_us")) / 86_400e6

@@ -22,7 +22,7 @@ def duration_text(s: Column) -> Column:
 def readings(quality: DataFrame) -> DataFrame:
     """Adds ``read_spikes, read_repeats, read_grain`` and ``limits``, an array of what the data do not support."""
     p, q, d, m, r = (F.col(c) for c in ("pct_spikes", "pct_repeated", "decimals_lat", "least_step_m", "regular_pct"))
-    metres = F.coalesce(F.format_string("%.0f m", m.cast("double")), F.lit("unknown size"))
+    metres = F.when(m.isNull(), "unknown size").otherwise(F.format_string("%.0f m", m.cast("double")))
     limits = F.array_compact(
         F.array(
             F.when(d <= 4, F.concat(F.lit("Any analysis finer than "), metres)),

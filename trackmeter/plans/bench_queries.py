@@ -427,13 +427,16 @@ def inventory_files(spark, d):
     return corpus.files_by_suffix(Tables(spark, d).deposits)
 
 
-def _device_quality(spark, d):
+def _device_quality(spark, d, grain=False):
+    """``grain``: median decimals and least step; without it the greatest decimals, as the SQL of sheet_readings has it."""
     t = _tracks(spark, d)
     t = Written(spark).put(t, "tracks")
     sp = corpus.spikes(t).select("entity", (100 * F.col("spikes") / F.col("triplets")).alias("pct_spikes"))
     rep = corpus.repeated_positions(consecutive_pairs(t), "entity").select("entity", (100 * F.col("repeats") / F.col("steps")).alias("pct_repeated"))
     dec = t.groupBy("entity").agg(F.max(corpus.decimals(corpus.plain_number(F.col("lat")))).alias("decimals_lat"), F.lit(None).cast("double").alias("least_step_m"))
     pace = corpus.cadence(t, ["entity"])
+    if grain:
+        dec = corpus.grain_by_device(t)
     return dec.join(rep, "entity", "left").join(sp, "entity", "left").join(pace, "entity", "left")
 
 
@@ -442,6 +445,12 @@ def sheet_readings(spark, d):
     return q.select("entity", "read_spikes", "read_repeats", sheets.duration_text(F.col("gap_mode_s")).alias("pace"), F.size("limits").alias("n_limits"))
 
 
+def sheet_grains(spark, d):
+    """The grain of each device as its sheet reads it: median decimals, least step of latitude."""
+    q = sheets.readings(_device_quality(spark, d, grain=True))
+    return q.select("entity", "decimals_lat", r("least_step_m", 3).alias("least_step_m"), "read_grain", F.size("limits").alias("n_limits"))
+
+
 def most_affected(spark, d):
     """The 15 devices with the highest spike rate (a top-k report)."""
     return corpus.most_affected(_device_quality(spark, d)).select("entity", r("pct_spikes", 6).alias("pct_spikes"))
@@ -457,7 +466,7 @@ def quality_sheets(spark, d):
     n = _tracks(spark, d).groupBy("entity").agg(
         F.count(F.lit(1)).alias("n_fixes"), F.lit(1).alias("n_individuals"), ((F.max("ts_us") - F.min("ts_us")) / 86_400e6).alias("days")
     )
-    return sheets.sheet_text(_device_quality(spark, d).join(n, "entity"), "entity").select("entity", "sheet")
+    return sheets.sheet_text(_device_quality(spark, d, grain=True).join(n, "entity"), "entity").select("entity", "sheet")
 
 
 def device_rules(spark, d):
