@@ -163,6 +163,37 @@ def test_sphere_spectrum_and_classes(spark):
     assert [len(r.s) if r.s else None for r in xyz.collect()] == [3, None, None, None]
 
 
+def test_frames_span_the_bursts_of_a_stretch(spark):
+    wave = lambda s, n=12: [float(math.sin(2 * math.pi * 2.5 * (12 * s + i) / 12)) for i in range(n)]
+    edge = 8 * 86400 * 2000  # the edge of a block
+    rows = [("d", edge - 20 + s, wave(s), 1.0 + (s % 2) if s < 30 else None) for s in range(40)]  # 40 s over the edge
+    rows += [("d", edge + 100 + s, wave(s), 1.0) for s in range(7)]  # too short
+    rows += [("d", edge + 200 + s, None if s == 9 else wave(s), 1.0) for s in range(18)]  # broken by a burst without signal
+    rows += [("e", edge + s, wave(0, 5 + s % 3), 3.0) for s in range(20)]  # bursts of uneven length
+    data = [(i, a, s * 1_000_000 + 500, x, v) for i, (a, s, x, v) in enumerate(rows)]
+    data += [(1000, "d", (edge - 20) * 1_000_000 + 900, wave(3), 9.0)]  # a second burst in one second
+    df = spark.createDataFrame(data, "event_id bigint, entity string, ts_us bigint, signal array<double>, v double")
+    got = {(r.entity, r.stretch, r.frame): (r.seg, r.v) for r in accel.spliced_frames(df).collect()}
+    want = {}
+    for a in "de":
+        own, runs = [r for r in rows if r[0] == a and r[2]], []
+        for r in own:
+            if not runs or r[1] != runs[-1][-1][1] + 1:
+                runs.append([])
+            runs[-1].append(r)
+        for k, run in enumerate(runs, 1):
+            flat = [(x, j) for j, r in enumerate(run) for x in r[2]]
+            for f in range((len(flat) - 96) // 48 + 1):
+                seg = flat[48 * f : 48 * f + 96]
+                vs = [run[j][3] for j in {j for _, j in seg} if run[j][3] is not None]
+                want[a, k, f] = ([x for x, _ in seg], sum(vs) / len(vs) if vs else None)
+    assert got.keys() == want.keys() and len(want) == 9 + 1 + 1 + 1
+    for k, (seg, v) in want.items():
+        assert got[k] == (seg, pytest.approx(v))
+    sp = accel.spectra(accel.spliced_frames(df).filter("entity = 'd'").withColumn("class", F.lit(0)), ["entity", "stretch", "class"], 96)
+    assert accel.mean_spectra(sp, 96, 12.0, least=0).first().stride_hz == 2.5  # in bursts of 12 alone there is no frame of 96
+
+
 def test_wind_from_a_planted_circle(spark):
     rows, x, y = [], 0.0, 0.0
     for i in range(130):

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackmeter.operators.fixes import in_blocks, with_neighbours
+from trackmeter.operators.fixes import BLOCK_US, block_window, blocks_window, in_blocks, with_neighbours
 from trackmeter.operators.quantile import summary_quantiles
 from trackmeter.operators.tracks import first_per_second, islands, seconds
 
@@ -116,13 +116,47 @@ def speed_class(v: Column) -> Column:
     return c
 
 
+def _in_stretches(bursts: DataFrame, payload: list[str], block_us: int) -> DataFrame:
+    d = with_neighbours(in_blocks(first_per_second(bursts), ["tsec", *payload], block_us), ["tsec"], before=1)
+    return islands(d, F.col("p1_tsec").isNull() | (F.col("tsec") - F.col("p1_tsec") != 1))
+
+
 def stretches(bursts: DataFrame) -> DataFrame:
     """``entity, event_id, ts_us, tsec, stretch``: bursts of one device at consecutive seconds share a stretch; one burst a second."""
-    d = with_neighbours(in_blocks(first_per_second(bursts), ["tsec"]), ["tsec"], before=1)
-    d = islands(d, F.col("p1_tsec").isNull() | (F.col("tsec") - F.col("p1_tsec") != 1))
+    d = _in_stretches(bursts, [], BLOCK_US)
     return d.select("entity", "event_id", "ts_us", "tsec", F.col("island").alias("stretch"))
 
 
+def spliced_frames(bursts: DataFrame, size: int = 96, hop: int = 48, block_us: int = BLOCK_US) -> DataFrame:
+    """``entity, stretch, frame, seg, v``: overlapping windows of the joined ``signal`` of each stretch; a short rest is dropped.
+
+    The bursts of a stretch are laid end to end, so a frame may span several; ``v`` is the mean of their
+    speeds ``v``, without those that are null. A burst without a signal is no burst: a stretch ends there.
+    Places in the signal are running sums within blocks of time, with one row a block for what came
+    before; only the parts of one frame meet, never a whole stretch.
+    """
+    d = _in_stretches(bursts.filter(F.size("signal") > 0), ["signal", "v"], block_us)
+    w = block_window("ts_us", "event_id")
+    d = d.withColumn("_n", F.size("signal")).withColumn("_c", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    d = d.withColumn("_b", F.when(F.col("rank") == 0, F.col("_c")))
+    before = blocks_window().rowsBetween(Window.unboundedPreceding, -1)
+    blocks = d.groupBy("entity", "blk").agg(F.sum("_n").alias("_all"), F.max("_b").alias("_last"))
+    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_all").over(before), F.lit(0)))
+    blocks = blocks.select("entity", "blk", "_off", F.last(F.col("_last") + F.col("_off"), True).over(before).alias("_prev"))
+    begin = F.max("_b").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    d = d.withColumn("_begin", begin).join(blocks, ["entity", "blk"])
+    d = d.withColumn("_at", F.col("_off") + F.col("_c") - F.coalesce(F.col("_begin") + F.col("_off"), "_prev"))
+    first = F.greatest(F.lit(0), F.ceil((F.col("_at") - size + 1) / hop)).cast("bigint")
+    last = F.floor((F.col("_at") + F.col("_n") - 1) / hop).cast("bigint")
+    parts = d.filter(first <= last).select("entity", F.col("island").alias("stretch"), "signal", "v", "_n", "_at", F.explode(F.sequence(first, last)).alias("frame"))
+    start = F.greatest(F.lit(0), F.col("frame") * hop - F.col("_at")).cast("int")
+    end = F.least(F.col("_n"), F.col("frame") * hop + size - F.col("_at")).cast("int")
+    parts = parts.withColumns({"_s": start, "_e": end}).filter("_e > _s")
+    part = F.struct("_at", F.slice("signal", F.col("_s") + 1, F.col("_e") - F.col("_s")).alias("x"))
+    f = parts.groupBy("entity", "stretch", "frame").agg(F.flatten(F.array_sort(F.collect_list(part))["x"]).alias("seg"), F.avg("v").alias("v"))
+    return f.filter(F.size("seg") == size)
+
+
 def frames(signal: DataFrame, keys: list[str], size: int = 96, hop: int = 48) -> DataFrame:
     """``keys, frame, seg``: overlapping windows of each row's array ``signal``; a short rest is dropped."""
     n = F.floor((F.size("signal") - size) / hop).cast("int")

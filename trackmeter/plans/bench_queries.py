@@ -293,12 +293,13 @@ def acc_calibration_spread(spark, d):
 
 
 def gait_table(spark, d):
-    """Frames of 8 samples with hop 4 (bursts here are short), speeds within the same minute's fix."""
+    """Frames of 8 samples with hop 4 (bursts here are short) of the joined stretches, speeds within the same minute's fix."""
     sig = accel.gait_signal(_samples(spark, d), _calibration(spark, d))
     v = _tracks(spark, d, "speed_mps").withColumn("minute", F.floor(F.col("ts_us") / 60e6)).groupBy("entity", "minute").agg(F.avg("speed_mps").alias("v"))
-    sig = sig.withColumn("minute", F.floor(F.col("ts_us") / 60e6)).join(v, ["entity", "minute"])
-    f = accel.frames(sig.withColumn("class", accel.speed_class(F.col("v"))), ["event_id", "class"], 8, 4)
-    m = accel.mean_spectra(accel.spectra(f, ["event_id", "class"], 8), 8, 12.0, least=10)
+    sig = sig.withColumn("minute", F.floor(F.col("ts_us") / 60e6)).join(v, ["entity", "minute"], "left")
+    sig = Written(spark).put(sig.select("entity", "event_id", "ts_us", "signal", "v"), "signal")  # splicing reads it several times
+    f = accel.spliced_frames(sig, 8, 4).withColumn("class", accel.speed_class(F.col("v"))).filter("class is not null")
+    m = accel.mean_spectra(accel.spectra(f, ["entity", "stretch", "class"], 8), 8, 12.0, least=10)
     return rounded(m, froude=4, stride_m=4)
 
 
