@@ -68,6 +68,14 @@ def test_implausible_against_brute_force(make_fixes, seed):
     assert len(got) > 15
 
 
+def test_frozen_run_from_a_lone_record_before_a_block_edge(make_fixes):
+    edge = 2 * 86400  # 8-day blocks since 1970 begin two days after the first of March 2004
+    rows = [(1, edge - 60, 1.0, 2.0, "a")] + [(2 + i, edge + 60 * i, 1.0, 2.0, "a") for i in range(5)]
+    rows += [(100 + i, edge + 1000 + 600 * i, 1.0 + 0.001 * i, 2.001, "a") for i in range(80)]
+    got = {r.event_id for r in implausible(make_fixes(rows)).filter("reason = 'frozen'").collect()}
+    assert got == {1, 2, 3, 4, 5, 6} == brute_implausible(rows)
+
+
 def test_implausible_of_nothing(make_fixes):
     assert implausible(make_fixes([])).count() == 0
     assert [r.reason for r in implausible(make_fixes([(1, 0, 0.0, 0.0, "a")])).collect()] == ["impossible"]
