@@ -10,6 +10,7 @@ from trackmeter.operators.packed import all_bursts, odd_bursts
 from trackmeter.operators.sessions import sessions
 from trackmeter.operators.spatial import ear_clip, near_pairs, regions_of_points
 from trackmeter.operators.spikes import implausible, robust_components
+from trackmeter.plans import problem_queries
 
 
 def brute_implausible(rows):
@@ -214,3 +215,12 @@ def test_schema_drift(spark):
     }
     none = df.limit(0)
     assert drift.profile(none, drift.headers(none, dic)).count() == 0
+
+
+def test_what_does_not_cast_is_kept(spark, tmp_path):
+    lines = [("f", 0, "event-id,ground-speed"), ("f", 1, "1,fast"), ("f", 2, "2,1.5")]
+    spark.createDataFrame(lines, "file_id string, line_no int, line string").write.parquet(str(tmp_path / "export_lines.parquet"))
+    fields = [("event-id", "integer"), ("ground-speed", "decimal")]
+    spark.createDataFrame(fields, "field string, value_type string").write.parquet(str(tmp_path / "field_dictionary.parquet"))
+    got = [tuple(r) for r in problem_queries.QUERIES["p2_rescued"](spark, str(tmp_path)).collect()]
+    assert got == [("f", 1, '{"ground-speed":"fast"}')]

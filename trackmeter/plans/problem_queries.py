@@ -30,6 +30,14 @@ def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.replay(drift.ingest(t.export_lines, heads, t.field_dictionary), t.field_dictionary).drop("_rescued")
 
 
+def p2_rescued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What has no place in ``p2_table``, by line, as JSON from header to raw text."""
+    t = Tables(spark, sf_dir)
+    heads = drift.headers(t.export_lines, t.field_dictionary)
+    table = drift.replay(drift.ingest(t.export_lines, heads, t.field_dictionary), t.field_dictionary)
+    return table.filter("_rescued is not null").select("file_id", "line_no", "_rescued")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(Tables(spark, sf_dir).position_fixes).select("first_event_id", "last_event_id")
 
@@ -51,6 +59,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_table": p2_table,
+    "p2_rescued": p2_rescued,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
