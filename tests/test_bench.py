@@ -143,6 +143,13 @@ def test_noise_battery_and_device_pairs(spark):
     assert (pr.a, pr.b, pr.n_seconds) == ("a", "b", 200) and 0.8 < pr.sigma_each_m < 1.2
 
 
+def test_all_device_pairs_come_out(spark):
+    rows = [(100 * k + i, f"d{k:02}", i, k * M, i * M) for k in range(12) for i in range(3)]
+    p = noise.device_pairs(tracks(spark, rows), 0, 0, least=3)
+    assert p.count() == 66  # of 12 devices
+    assert [(r.a, r.b) for r in noise.device_pairs(tracks(spark, rows), 0, 0, least=3, most=2).collect()] == [("d00", "d01"), ("d00", "d02")]
+
+
 def test_sphere_spectrum_and_classes(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(600, 3))

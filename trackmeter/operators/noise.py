@@ -84,12 +84,12 @@ def battery_slopes(days: DataFrame, least: int = 7) -> DataFrame:
     ).filter(F.col("n_days") >= least)
 
 
-def device_pairs(tracks: DataFrame, lat0: float, lon0: float, near_m: float = 100.0, least: int = 5000, most: int = 60, contiguous: bool = False) -> DataFrame:
+def device_pairs(tracks: DataFrame, lat0: float, lon0: float, near_m: float = 100.0, least: int = 5000, most: int | None = None, contiguous: bool = False) -> DataFrame:
     """``a, b, n_seconds, dist_median_m, sigma_rel_m, sigma_each_m`` of devices side by side at the same second.
 
     The second difference of their relative position leaves the noise of two receivers: its variance is
     six times theirs. ``contiguous`` keeps differences over consecutive seconds only. One equi-join on
-    the second, not one per pair of devices; the first ``most`` pairs by name.
+    the second, not one per pair of devices. For reports, the first ``most`` pairs by name.
     """
     x, y = local_xy("lat", "lon", lat0, lon0)
     s = first_per_second(tracks).select("entity", "tsec", x.alias("x"), y.alias("y"))
@@ -113,7 +113,7 @@ def device_pairs(tracks: DataFrame, lat0: float, lon0: float, near_m: float = 10
     middle = grouped_quantile(d, ["a", "b"], "d", 0.5, "dist_median_m").select("a", "b", "dist_median_m")
     sigma = F.sqrt((F.col("vx") + F.col("vy")) / 2 / 6)
     out = stats.join(middle, ["a", "b"]).select("a", "b", "n_seconds", "dist_median_m", sigma.alias("sigma_rel_m"), (sigma / 2**0.5).alias("sigma_each_m"))
-    return out.orderBy("a", "b").limit(most)
+    return out if most is None else out.orderBy("a", "b").limit(most)
 
 
 def origin(tracks: DataFrame) -> tuple[float, float]:

@@ -256,7 +256,7 @@ def battery_slopes(spark, d):
 
 def device_pairs(spark, d):
     """Devices within 2,000 km at the same second, at least 3 such seconds (elsewhere 5,000 within 100 m)."""
-    p = noise.device_pairs(_tracks(spark, d), *ORIGIN, near_m=2e6, least=3, most=1_000_000)
+    p = noise.device_pairs(_tracks(spark, d), *ORIGIN, near_m=2e6, least=3)
     return rounded(p, dist_median_m=1, sigma_rel_m=1, sigma_each_m=1)
 
 
