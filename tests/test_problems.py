@@ -179,6 +179,12 @@ def test_packed_fields(spark):
     assert odd_bursts(acc.limit(0)).count() == 0
 
 
+def test_a_trailing_line_end_is_odd(spark):
+    acc = spark.createDataFrame([(1, "1 2 3\n"), (2, "1 2 3\r\n"), (3, "1 2 3")], "`event-id` bigint, `eobs:accelerations-raw` string")
+    assert sorted(tuple(r) for r in odd_bursts(acc).collect()) == [(e, i, i) for e in (1, 2) for i in (1, 2, 3)]
+    assert sorted(tuple(r) for r in all_bursts(acc).collect()) == [(e, i, i) for e in (1, 2, 3) for i in (1, 2, 3)]
+
+
 def test_schema_drift(spark):
     lines = [
         ("f1", 0, "event-id,timestamp,ground-speed,manually-marked-outlier,odd"),

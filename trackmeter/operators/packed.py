@@ -13,7 +13,7 @@ BLANK = r"\s\p{Z}\x{0085}\x{200b}\x{feff}"
 #: what belongs to a value: letters, digits, signs and points
 ORDINARY = r"\p{L}\p{N}\p{M}+.\-_\x{2212}"
 #: integers parted by single spaces
-PLAIN = r"^[+-]?[0-9]+( [+-]?[0-9]+)*$"
+PLAIN = r"^[+-]?[0-9]+( [+-]?[0-9]+)*\z"
 QUOTES = "'“”„«»"
 
 
