@@ -5,11 +5,11 @@ import pytest
 
 from tests.test_core import CLASH, hav
 from trackmeter.operators import drift
-from trackmeter.operators.fixes import DAY_US
+from trackmeter.operators.fixes import BLOCK_US, DAY_US
 from trackmeter.operators.packed import all_bursts, odd_bursts
 from trackmeter.operators.sessions import sessions
 from trackmeter.operators.spatial import ear_clip, near_pairs, regions_of_points
-from trackmeter.operators.spikes import implausible, robust_components
+from trackmeter.operators.spikes import SPARSE, Steps, chosen_cells, implausible, robust_components
 from trackmeter.plans import problem_queries
 
 
@@ -82,16 +82,91 @@ def test_implausible_of_nothing(make_fixes):
     assert [r.reason for r in implausible(make_fixes([(1, 0, 0.0, 0.0, "a")])).collect()] == ["impossible"]
 
 
+def pursuit(d, rounds=20):
+    """Principal component pursuit of one matrix by full singular value decomposition."""
+    r, c = d.shape
+    lam, mu = 1 / max(r, c) ** 0.5, 1.25 * r**0.5 / np.linalg.norm(d)
+    sparse, dual = np.zeros_like(d), np.zeros_like(d)
+    for _ in range(rounds):
+        u, s, v = np.linalg.svd(d - sparse + dual / mu, full_matrices=False)
+        low = u @ np.diag(np.maximum(s - 1 / mu, 0)) @ v
+        y = d - low + dual / mu
+        sparse = np.sign(y) * np.maximum(np.abs(y) - lam / mu, 0)
+        dual, mu = dual + mu * (d - low - sparse), mu * 1.5
+    return low, d - low
+
+
+def rhythm(make_fixes):
+    """Two sources with a daily rhythm over 16 days and a few spikes; and what the pursuit makes of their blocks."""
+    rng, rows, e = random.Random(8), [], 0
+    for a in ("x", "y"):
+        lo = 2.0
+        for h in range(24 * 16):
+            e += 1
+            lo += (1e-3 if 6 <= h % 24 < 20 else 1e-4) * rng.uniform(0.8, 1.2)
+            rows.append((e, h * 3600 + 60 * rng.randrange(30), 1.0 + (0.7 if h in (100, 231, 300) and a == "x" else 0.0), lo, a))
+    return rows, make_fixes(rows)
+
+
+def brute_cells(rows):
+    out = {}
+    for a in {r[4] for r in rows}:
+        recs = sorted((r[1], r[0], r[2], r[3]) for r in rows if r[4] == a)
+        steps = [(q[0], hav(p[2:], q[2:])) for p, q in zip(recs, recs[1:])]
+        y = np.quantile([s for _, s in steps], 0.95)
+        start = 1078099200  # seconds of 2004-03-01
+        mats = {}
+        for t, s in steps:
+            blk, cell = divmod(start + t, 8 * 86400)
+            m = mats.setdefault(blk, {})
+            m[cell // 3600] = max(m.get(cell // 3600, 0), s)
+        for blk, m in mats.items():
+            d = np.zeros(192)
+            d[list(m)] = np.log1p(np.array(list(m.values())) / y)
+            low, sparse = pursuit(d.reshape(8, 24))
+            out |= {(a, blk, c): (low.ravel()[c], sparse.ravel()[c]) for c in m}
+    return out
+
+
+def test_profile_cells_against_brute_force(make_fixes):
+    rows, fixes = rhythm(make_fixes)
+    want = brute_cells(rows)
+    cells_of = lambda **kernel: {(r.entity, r.blk, r.cell): (r.low, r.sparse) for r in Steps(fixes, 0.95, 3, BLOCK_US, **kernel).cells.collect()}
+    got = cells_of()
+    same = lambda got: got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
+    assert same(got)
+    assert max(v[0] for v in got.values()) > 0.3  # the rhythm is in L
+    spiking = {k for k, v in got.items() if v[1] > SPARSE}
+    assert 3 <= len(spiking) < 20 and len({k[0] for k in spiking}) == 1
+    noise = np.random.default_rng(1)
+    assert not same(cells_of(kernel=lambda d: (np.zeros_like(d), d)))
+    assert not same(cells_of(kernel=lambda d: (lambda low: (low, d - low))(noise.uniform(0, 2, d.shape))))
+
+
+def test_the_sparse_part_chooses_the_rows(make_fixes):
+    rows, fixes = rhythm(make_fixes)
+    want = brute_implausible(rows)
+    ids = lambda **kernel: {r.event_id for r in implausible(fixes, **kernel).collect()}
+    assert ids() == want and len(want) == 3
+    # a low-rank part that takes half of everything leaves no sparse cell, and so no row to test
+    assert ids(kernel=lambda d: (np.minimum(d - 0.3, 1.7), d * 0)) == set()
+
+
 def test_robust_components_keep_spikes_sparse():
     rng = np.random.default_rng(0)
     base = np.outer(np.ones(8), 0.5 + 0.4 * np.sin(np.arange(24) / 4))[None] + rng.normal(0, 0.01, (1, 8, 24))
     spiked = base.copy()
     spiked[0, 3, 7] += 3
-    low, sparse = robust_components(spiked, 1.7)
+    low, sparse = robust_components(spiked)
     assert np.allclose(low + sparse, spiked)
     assert sparse[0, 3, 7] > 2 and np.abs(np.delete(sparse.ravel(), 3 * 24 + 7)).max() < 0.4
-    constant = np.full((1, 8, 24), 5.0)
-    assert (robust_components(constant, 1.7)[1] > 3).all()  # recurring spikes are not normal
+
+
+def test_recurring_spikes_are_a_second_pass(spark):
+    low, sparse = robust_components(np.full((1, 8, 24), 5.0))
+    assert sparse.max() < SPARSE  # the pursuit takes what recurs in every hour of every day for normal
+    cells = spark.createDataFrame([("a", 1, 2, float(low[0, 0, 2]), float(sparse[0, 0, 2])), ("a", 1, 3, 0.1, 0.9), ("a", 1, 4, 0.9, 0.1)], "entity string, blk int, cell int, low double, sparse double")
+    assert {(r.cell, r.chosen_by) for r in chosen_cells(cells).collect()} == {(2, "low"), (3, "sparse")}
 
 
 def test_sessions_against_brute_force(make_fixes):

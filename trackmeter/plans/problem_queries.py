@@ -8,7 +8,8 @@ from trackmeter.operators import drift
 from trackmeter.operators.packed import all_bursts, odd_bursts
 from trackmeter.operators.sessions import sessions
 from trackmeter.operators.spatial import near_pairs
-from trackmeter.operators.spikes import implausible
+from trackmeter.operators.fixes import BLOCK_US
+from trackmeter.operators.spikes import Steps, chosen_cells, implausible
 from trackmeter.plans import problem_oracles as sql
 from trackmeter.sources.tables import Tables
 
@@ -17,6 +18,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return implausible(Tables(spark, sf_dir).position_fixes).select("event_id").distinct()
 
 
+def p1_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells the pursuit chooses for the exact test: low-rank and sparse part, and which of them chose."""
+    return chosen_cells(Steps(Tables(spark, sf_dir).position_fixes, 0.95, 3, BLOCK_US).cells)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     fields = drift.profile(t.export_lines, drift.headers(t.export_lines, t.field_dictionary))
@@ -57,6 +63,7 @@ def p7_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_cells": p1_cells,
     "p2_found": p2_found,
     "p2_table": p2_table,
     "p2_rescued": p2_rescued,
