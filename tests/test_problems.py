@@ -1,14 +1,16 @@
+import math
 import random
 
 import numpy as np
 import pytest
 
 from tests.test_core import CLASH, hav
+from trackmeter.functions.geo import EARTH_RADIUS_M
 from trackmeter.operators import drift
 from trackmeter.operators.fixes import BLOCK_US, DAY_US
 from trackmeter.operators.packed import all_bursts, odd_bursts
 from trackmeter.operators.sessions import sessions
-from trackmeter.operators.spatial import ear_clip, near_pairs, regions_of_points
+from trackmeter.operators.spatial import Grid, HotNodes, ear_clip, near_pairs, region_candidates, regions_of_points
 from trackmeter.operators.spikes import SPARSE, Steps, chosen_cells, implausible, robust_components
 from trackmeter.plans import problem_queries
 
@@ -200,6 +202,36 @@ def test_near_pairs_against_brute_force(make_fixes):
     ok = [r for r in dict.fromkeys(rows) if r[2] is not None and not (r[2] == 0 and r[3] == 0)]
     want = {(min(p[0], q[0]), max(p[0], q[0])) for i, p in enumerate(ok) for q in ok[:i] if p[4] != q[4] and hav(p[2:4], q[2:4]) <= 30}
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    assert near_pairs(make_fixes([])).count() == 0
+
+
+def test_triangles_decide_the_candidates(make_fixes):
+    """Points in the box of a region, near its north-eastern corner: those beyond the slanted side are no candidates."""
+    dlat = math.degrees(30 / EARTH_RADIUS_M)
+    dlon = dlat / math.cos(math.radians(60))
+    spots = [(0.99, 0.2), (0.3, 0.99), (0.7, 0.7), (0.72, 0.68), (0.75, 0.75), (0.95, 0.9), (-0.9, 0.9), (-0.6, 0.6), (0.0, 0.5)]
+    rows = [(1, 0, 60.0, 10.0, "a")] + [(10 + k, 0, 60.0 + v * dlat, 10.0 + u * dlon, "b") for k, (u, v) in enumerate(spots)]
+    got = {r.id_b - 10 for r in region_candidates(make_fixes(rows)).collect() if r.id_a == 1}
+    assert got == {k for k, (u, v) in enumerate(spots) if abs(u) + v <= 1.4156} == {0, 1, 2, 3, 7, 8}
+
+
+def test_hot_nodes_are_split(make_fixes):
+    """One animal rests where others pass: its rows are split, never multiplied by themselves, and no pair is lost."""
+    rng = random.Random(6)
+    spot = lambda: (60.0 + rng.uniform(-2, 2) * 1e-4, 10.0 + rng.uniform(-4, 4) * 1e-4)
+    rows = [(e, e, *spot(), "rests" if e <= 150 else f"a{e % 5}" if e <= 190 else "too") for e in range(1, 260)]
+    fixes = make_fixes(rows + rows[:20], CLASH)
+    want = {(p[0], q[0]) for i, q in enumerate(rows) for p in rows[:i] if p[4] != q[4] and hav(p[2:4], q[2:4]) <= 30}
+    for most in (16, 10_000):
+        got = [(r.event_id_a, r.event_id_b) for r in near_pairs(fixes, hot_rows=most).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
+    raw = fixes.selectExpr("`individual-local-identifier` entity", "`location-lat` lat", "`location-long` lon", "`event-id` event_id").distinct()
+    grid = Grid(30.0, 3.0)
+    hot = HotNodes(raw, grid, 16)
+    table = {r.node: r for r in hot.table.collect()}
+    assert hot.some and any("rests" in r.own for r in table.values())
+    sent = hot.split(grid.points(raw), "cb", "ca").filter("entity = 'rests'").groupBy("node", "event_id").count().collect()
+    assert all(r["count"] == (table[r.node].chunks - (table[r.node].own["rests"].k if "rests" in table[r.node].own else 0) if r.node in table else 1) for r in sent)
 
 
 def test_ear_clip_covers_the_ring():
@@ -207,6 +239,10 @@ def test_ear_clip_covers_the_ring():
     tri = ear_clip(ring)
     area = lambda p: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, [*p[1:], p[0]]))) / 2
     assert sum(area(t) for t, _ in tri) == pytest.approx(area(ring[:-1])) and len(tri) == 3
+    star = [((5 if k % 2 else 2 + k % 7 / 9) * math.cos(k * math.pi / 150), (5 if k % 2 else 2 + k % 7 / 9) * math.sin(k * math.pi / 150)) for k in range(300)]
+    assert sum(area(t) for t, _ in ear_clip(star[::-1])) == pytest.approx(area(star)) and len(ear_clip(star)) == 298
+    with pytest.raises(ValueError):
+        ear_clip([(0, 0), (4, 4), (4, 0), (0, 4), (-1, 2)])
     assert ear_clip([(0, 0), (1, 1)]) == [] and ear_clip([(0, None), (1, 1), (2, 0)]) == []
 
 
@@ -218,8 +254,10 @@ def test_regions_of_points(spark):
     )
     pts = [(1, 2.0, 0.5), (2, 2.0, 3.0), (3, 4.0, 2.0), (4, 6.0, 1.0), (5, 1.002, 0.102), (6, 9.0, 9.0), (7, None, 1.0), (1, 2.0, 0.5)]
     df = spark.createDataFrame(pts, "point_id bigint, lon double, lat double")
-    got = sorted((r.point_id, r.region_id) for r in regions_of_points(df, regions).collect())
-    assert got == [(1, "L"), (3, "L"), (3, "R"), (4, "R"), (5, "L"), (5, "tiny")]
+    for most in (0, 1000):  # by shuffle over salts, and by broadcast
+        got = sorted((r.point_id, r.region_id) for r in regions_of_points(df, regions, most_broadcast=most).collect())
+        assert got == [(1, "L"), (3, "L"), (3, "R"), (4, "R"), (5, "L"), (5, "tiny")]
+    assert regions_of_points(df, regions.limit(0)).count() == 0 and regions_of_points(df.limit(0), regions).count() == 0
 
 
 CASES = {

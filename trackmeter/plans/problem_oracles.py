@@ -59,6 +59,20 @@ from wide p join band q on p.ny = q.cy and p.a < q.a and abs(p.la - q.la) < 0.00
 where {dist("p.", "q.")} <= 30
 """
 
+_WHOLE = "[[12.5, -9.0], [14.5, -9.0], [14.5, -6.5], [13.75, -7.25], [13.5, -6.5], [12.5, -6.5]]"
+P6_REGIONS = f"""
+with {PLACED},
+tile as (select i, 12.875 + (i % 9) / 8.0 x, -8.0 + (i // 9) / 8.0 y from range(90) t(i)),
+shape as (select * from (values ('notched', [[0, 0], [8, 0], [8, 8], [3.53125, 2.28125], [0, 8]]), ('wedge', [[0, 8], [3.53125, 2.28125], [8, 8]]), ('square', [[3, 6], [5, 6], [5, 7], [3, 7]])) s(k, c)),
+ring as (select k || '-' || i region_id, list_transform(c, lambda p: [(x + p[1] / 64.0)::double, (y + p[2] / 64.0)::double]) r from tile, shape
+  union all select 'large', {_WHOLE}::double[][]),
+edge as (select region_id, r[j][1] ax, r[j][2] ay, r[j % len(r) + 1][1] bx, r[j % len(r) + 1][2] b_y from (select *, unnest(range(1, len(r) + 1)) j from ring)),
+crossed as (select e event_id, region_id, sum(case when (ay > la) <> (b_y > la) and lo < (bx - ax) * (la - ay) / (b_y - ay) + ax then 1 else 0 end) n,
+  bool_or((bx - ax) * (la - ay) - (b_y - ay) * (lo - ax) = 0 and lo between least(ax, bx) and greatest(ax, bx) and la between least(ay, b_y) and greatest(ay, b_y)) b
+  from placed, edge where abs(la) <= 90 and abs(lo) <= 180 group by 1, 2)
+select event_id, region_id from crossed where n % 2 = 1 or b
+"""
+
 _B = "[\\s\\p{Z}\\x{200b}\\x{feff}]"
 _M = "[,;|/:!?&*=~@#%^_<>(){}\\[\\]\\\\]"
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trackmeter.operators import drift
 from trackmeter.operators.packed import all_bursts, odd_bursts
 from trackmeter.operators.sessions import sessions
-from trackmeter.operators.spatial import near_pairs
-from trackmeter.operators.fixes import BLOCK_US
+from trackmeter.operators.spatial import near_pairs, regions_of_points
+from trackmeter.operators.fixes import BLOCK_US, placed_records
 from trackmeter.operators.spikes import Steps, chosen_cells, implausible
 from trackmeter.plans import problem_oracles as sql
 from trackmeter.sources.tables import Tables
@@ -52,6 +53,27 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pairs(Tables(spark, sf_dir).position_fixes).select("event_id_a", "event_id_b")
 
 
+def tiles(spark: SparkSession) -> DataFrame:
+    """``region_id, ring``: regions over the country of the tables, in 1/64 degrees, exact in binary.
+
+    A raster of tiles an eighth of a degree wide, each a notched region and the wedge that fills the
+    notch, so neighbours share borders; a small square in each wedge; one large region over all.
+    """
+    x, y = F.lit(12.875) + F.pmod("id", F.lit(9)) / 8, F.lit(-8.0) + F.floor(F.col("id") / 9) / 8
+    ring = lambda *pts: F.array(*[F.struct((x + a / 64).alias("lon"), (y + b / 64).alias("lat")) for a, b in pts])
+    shapes = {"notched": ring((0, 0), (8, 0), (8, 8), (3.53125, 2.28125), (0, 8)), "wedge": ring((0, 8), (3.53125, 2.28125), (8, 8)), "square": ring((3, 6), (5, 6), (5, 7), (3, 7))}
+    each = F.explode(F.array(*[F.struct(F.concat(F.lit(f"{k}-"), F.col("id")).alias("region_id"), r.alias("ring")) for k, r in shapes.items()])).alias("r")
+    whole = [(12.5, -9.0), (14.5, -9.0), (14.5, -6.5), (13.75, -7.25), (13.5, -6.5), (12.5, -6.5)]
+    large = spark.createDataFrame([("large", [{"lon": a, "lat": b} for a, b in whole])], "region_id string, ring array<struct<lon:double,lat:double>>")
+    return spark.range(90).select(each).select("r.*").unionByName(large)
+
+
+def p6_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions each placed record lies in."""
+    fixes = placed_records(Tables(spark, sf_dir).position_fixes)
+    return regions_of_points(fixes, tiles(spark), "event_id").select("event_id", "region_id")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_bursts(Tables(spark, sf_dir).acc_records)
 
@@ -69,6 +91,7 @@ QUERIES = {
     "p2_rescued": p2_rescued,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p6_regions": p6_regions,
     "p7_found": p7_found,
     "p7_values": p7_values,
 }
@@ -78,6 +101,7 @@ ORACLES = {
     "p2_table": sql.P2_TABLE,
     "p5_found": sql.P5_FOUND,
     "p6_found": sql.P6_FOUND,
+    "p6_regions": sql.P6_REGIONS,
     "p7_found": sql.P7_FOUND,
     "p7_values": sql.P7_VALUES,
 }
