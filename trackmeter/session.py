@@ -54,7 +54,7 @@ class Written:
             atexit.register(shutil.rmtree, self.root.removeprefix("file://"), ignore_errors=True)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.get(name)
 
     def get(self, name: str) -> DataFrame:
