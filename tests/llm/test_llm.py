@@ -8,9 +8,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.test_core import CLASH, hav
-from trackmeter.llm.mixing import mix, sainte_lague, shares
+from trackmeter.llm.mixing import mix, mix_check, sainte_lague, shard_quotas, shares
 from trackmeter.llm.nearest import bursts_with_fixes, nearest_in_time
-from trackmeter.llm.packing import best_two_fit, fill_report, packed
+from trackmeter.llm.packing import best_two_fit, fill_report, packed, packing_check
 from trackmeter.llm.repetition import RULES, judged, repetitive
 from trackmeter.llm.runs import near_runs, run_starts
 from trackmeter.llm.tokens import VOCABULARY, _encoding, count_tokens, parts
@@ -72,6 +72,15 @@ def test_nearest_against_brute_force(spark):
     assert got == want and got[500] == 2000
 
 
+def test_nearest_in_a_tick_of_many_instants(spark):
+    right = spark.range(20_000).selectExpr("id event_id", "'a' entity", "1000 + id * 2000 ts_us")  # one tick holds them all
+    left = spark.createDataFrame([(1, "a", 1000), (2, "a", 20_000_999), (3, "a", 20_002_000), (4, "a", 58_999_999), (5, "a", 101_000_000)], "event_id bigint, entity string, ts_us bigint")
+    got = {r.left_id: (r.right_id, r.lag_us) for r in nearest_in_time(left, right).collect()}
+    assert got == {1: (0, 0), 2: (10000, 1), 3: (10000, 1000), 4: (19999, 19_000_999)}
+    plan = nearest_in_time(left, right)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
 def test_bursts_with_fixes_on_dirty_tables(spark, make_fixes):
     fixes = make_fixes([(1, 100, 1.0, 1.0, " A "), (1, 100, 1.0, 1.0, " A "), (2, 130, None, 1.0, "a"), (3, 161, 1.0, 1.0, "a")], CLASH)
     acc = make_fixes([(10, 135, None, None, "A"), (10, 135, None, None, "A"), (11, None, None, None, "A"), (12, 300, None, None, "a")]).drop("delivered_at").withColumn("tick", F.lit(1))
@@ -167,6 +176,52 @@ def test_mix_reaches_shares_and_caps(spark):
     assert mix(docs.limit(0), goals).count() == 0
 
 
+def test_shards_are_apportioned_through_a_tree(spark):
+    rng = random.Random(11)
+    rows = [(s, c, k, rng.randrange(1, 5000)) for s in ("a", "b") for k in range(300) for c in (1, 3) if rng.random() < 0.8]
+    strata = spark.createDataFrame(rows, "source string, cap int, shard bigint, n bigint")
+    room = {s: sum(n * c for x, c, _, n in rows if x == s) for s in "ab"}
+    quotas = {"a": room["a"] // 64 // 2, "b": room["b"] // 64}
+    given = spark.createDataFrame(list(quotas.items()), "source string, quota bigint")
+    for fan in (4, 7, 1024):
+        got = shard_quotas(strata, given, 300, 64, fan).collect()
+        assert len(got) == len(rows)
+        for s in "ab":
+            own = [r for r in got if r.source == s]
+            assert sum(r.blocks for r in own) == quotas[s]
+            assert all(0 <= r.blocks <= -(-r.n * r.cap // 64) for r in own)
+            # within one block of the fair share at each level of the tree, beside what small shards cannot take
+            fair = quotas[s] / room[s]
+            assert s == "b" or max(abs(r.blocks - r.n * r.cap * fair) for r in own) < 8
+
+
+def test_mix_of_many_sources_and_caps(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(30)), f"s{i % 40}") for i in range(800)]
+    goals = spark.createDataFrame([(f"s{i}", 1 / 40, 1 + i % 5) for i in range(40)], "source string, target_share double, max_repeats int")
+    docs = spark.createDataFrame(rows, DOCS)
+    m = mix(docs, goals, block_tokens=32, shard_texts=50, fan=3)
+    r = mix_check(m, docs, goals, 32).first()
+    assert r.n_sources == 40 and r.over_cap == r.repeated_texts == r.foreign == 0 and r.shares_reached
+    wrong = m.withColumn("uses", F.col("uses") + 9).unionByName(m.limit(1).selectExpr("doc_id", "'s1' source", "n_tokens", "uses"))
+    assert mix_check(wrong, docs, goals, 32).first().over_cap > 700
+    half = m.filter("source != 's3'").unionByName(m.filter("source = 's3'").limit(1))
+    assert not mix_check(half, docs, goals, 32).first().shares_reached
+
+
+def test_packing_check_sees_faults(spark):
+    rng = random.Random(13)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(900)}" for _ in range(rng.randrange(1, 90))), "s") for i in range(300)] + [(900, None, "s"), (901, "", "s")], DOCS)
+    p = packed(docs, 128).cache()
+    good = packing_check(p, docs, 128).first()
+    assert (good.n_docs, good.over_full, good.wrong_length, good.gaps, good.needless_cuts, good.well_filled) == (300, 0, 0, 0, 0, True)
+    bad = packing_check(p.filter("doc_id > 3").withColumn("container_id", F.lit("one")).withColumn("first_token", F.col("first_token") + 1), docs, 128).first()
+    assert bad.over_full == 1 and bad.wrong_length >= 3 and bad.gaps > 290
+    assert not packing_check(p.withColumn("container_id", F.col("doc_id").cast("string")), docs, 128).first().well_filled
+    none = packing_check(packed(docs.limit(0), 128), docs.limit(0), 128).first()
+    assert (none.n_docs, none.over_full, none.wrong_length, none.well_filled) == (0, 0, 0, True)
+
+
 def brute_share(text):
     w = re.findall(r"[^\W_]+", (text or "").lower())
     seen, hit = set(), set()

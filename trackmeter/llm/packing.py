@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmeter.llm.tokens import VOCABULARY, n_tokens
@@ -140,3 +140,33 @@ def fill_report(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
         F.sum("n").alias("n_tokens"),
         (F.sum("n") / (F.count(F.lit(1)) * capacity)).alias("fill_share"),
     )
+
+
+def packing_check(pieces: DataFrame, docs: DataFrame, capacity: int = 2048, vocabulary: str = VOCABULARY) -> DataFrame:
+    """One row about a packing: what it must not hold, and whether it is full.
+
+    n_docs: documents with a piece; over_full: containers above capacity; wrong_length: documents whose
+    pieces together are not as long as they are; gaps: pieces that do not begin where the piece before
+    ends; needless_cuts: documents in more pieces than their length asks for; well_filled: at most one
+    token in 200 is left unused.
+    """
+    lengths = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.max(n_tokens(docs.sparkSession, F.col("text"), vocabulary)).alias("n"))
+    w = Window.partitionBy("doc_id").orderBy("piece_no")
+    ends = pieces.withColumn("_due", F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = ends.groupBy("doc_id").agg(
+        F.sum("n_tokens").alias("got"), F.count(F.lit(1)).alias("k"), F.sum((F.col("_due") != F.col("first_token")).cast("bigint")).alias("gaps")
+    )
+    n = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("bigint")), F.lit(0))
+    by_doc = lengths.filter("n > 0").join(own, "doc_id", "full").agg(
+        F.count("k").alias("n_docs"),
+        n(F.coalesce("got", F.lit(0)) != F.coalesce("n", F.lit(0))).alias("wrong_length"),
+        F.coalesce(F.sum("gaps"), F.lit(0)).alias("gaps"),
+        n(F.col("k") > F.ceil(F.col("n") / capacity)).alias("needless_cuts"),
+    )
+    bins = pieces.groupBy("container_id").agg(F.sum("n_tokens").alias("b"))
+    by_bin = bins.agg(
+        n(F.col("b") > capacity).alias("over_full"),
+        # besides one container that ends the packing
+        F.coalesce(F.sum("b") >= 0.995 * capacity * (F.count(F.lit(1)) - 1), F.lit(True)).alias("well_filled"),
+    )
+    return by_doc.crossJoin(by_bin)  # one row each

@@ -75,7 +75,6 @@ def measures(text: Column) -> dict[str, Column]:
         "n_words": F.size(words(t)),
         "repeated_word_share": let(words(t), lambda w: ratio(repeated_words(w), F.size(w))),
         "symbol_ratio": ratio(removed(r"[\p{P}\p{S}]+"), F.length(t)),
-        "digit_ratio": ratio(removed(r"\p{N}+"), F.length(t)),
         "stop_word_ratio": let(words(t), lambda w: ratio(F.size(F.filter(w, lambda x: F.array_contains(stop, x))), F.size(w))),
         "duplicate_line_share": duplicate_share(lines),
         "duplicate_paragraph_share": duplicate_share(F.split(t, r"(?:\r\n|\r|\n)\s*(?:\r\n|\r|\n)")),
@@ -84,7 +83,7 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
-#: measure, comparison, limit: a document with any of these is repetitive
+#: measure, comparison, limit: the rules reported one by one
 RULES = (
     ("repeated_word_share", ">=", 0.30),
     ("duplicate_line_share", ">=", 0.30),
@@ -92,6 +91,25 @@ RULES = (
     ("duplicate_sentence_share", ">=", 0.30),
     ("symbol_ratio", ">=", 0.50),
 )
+#: these and the limits of what is text at all
+ALL_RULES = (
+    *RULES,
+    ("stop_word_ratio", "<=", 0.05),
+    ("mean_line_chars", "<", 8.0),
+    ("n_words", "<=", float(PHRASE)),
+)
+#: a document that holds all of these is repetitive, cheapest first. The definition knows the share of
+#: words alone; the other limits are what follows from it (a phrase cannot recur within its own length, a
+#: text of symbols has no words), so they spare work and reject nothing else.
+REPETITIVE = (
+    ("n_chars", ">", 2.0 * PHRASE),
+    ("n_words", ">", float(PHRASE)),
+    ("repeated_word_share", ">=", 0.30),
+    ("symbol_ratio", "<", 1.0),
+    ("stop_word_ratio", "<=", 1.0),
+    ("mean_line_chars", ">", 0.0),
+    ("duplicate_line_share", "<=", 1.0),
+)
 COMPARE = {">=": lambda a, b: a >= b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, "<": lambda a, b: a < b}
 
 
@@ -110,7 +128,16 @@ def judged(docs: DataFrame, rules: Sequence[tuple[str, str, float]] = RULES, sho
     return df.withColumn("broken", F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>"))
 
 
-def repetitive(docs: DataFrame, limit: float = 0.30) -> DataFrame:
-    """``doc_id, repeated_word_share`` of the documents at or above the limit."""
-    rule = [("repeated_word_share", ">=", limit)]
-    return judged(docs, rule).filter(F.size("broken") > 0).select("doc_id", "repeated_word_share")
+def repetitive(docs: DataFrame, table: Sequence[tuple[str, str, float]] = REPETITIVE) -> DataFrame:
+    """``doc_id`` of the documents that hold all rules of the table, compiled into one condition.
+
+    Rules are asked in the table's order; once one does not hold, no later measure is computed. Null
+    and empty texts hold none with a positive lower limit.
+    """
+    known = measures(F.col("text"))
+    if unknown := [m for m, _, _ in table if m not in known]:
+        raise ValueError(f"unknown measures {unknown}")
+    holds = F.lit(True)
+    for m, op, limit in reversed(table):
+        holds = F.when(COMPARE[op](known[m], F.lit(limit)), holds).otherwise(False)
+    return docs.filter(holds).select("doc_id")

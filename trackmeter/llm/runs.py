@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,29 +18,23 @@ def run_starts(pairs: DataFrame) -> DataFrame:
     Each round joins the pointers still moving with the pointers they point to, which doubles their
     reach; a pointer rests once its target has no pointer. So a run of n takes about log2(n) rounds.
     Both sides of each join have unique keys: a moving pointer's target is pointed to by one record
-    only, however long the run. Each round is written to the shared folder; the one before is dropped.
+    only, however long the run. Each round writes the pointers it moved to the shared folder; those at
+    rest stay where they were written.
     """
     stage = Written(pairs.sparkSession)
-    cur, k = stage.put(pairs.withColumn("moving", F.lit(True)), "r0"), 0
+    moving, resting, k = stage.put(pairs, "r0"), [], 0
+    cols = ["id", "ptr", "ptr_ts", "ts"]
     while True:
-        target = cur.select(F.col("id").alias("ptr"), F.col("ptr").alias("_to"), F.col("ptr_ts").alias("_to_ts"))
-        moved = (
-            cur.filter("moving")
-            .join(target, "ptr", "left")
-            .select(
-                "id",
-                F.coalesce("_to", "ptr").alias("ptr"),
-                F.coalesce("_to_ts", "ptr_ts").alias("ptr_ts"),
-                "ts",
-                F.col("_to").isNotNull().alias("moving"),
-            )
+        target = reduce(DataFrame.unionByName, [moving, *resting]).select(F.col("id").alias("ptr"), F.col("ptr").alias("_to"), F.col("ptr_ts").alias("_to_ts"))
+        moved = moving.join(target, "ptr", "left").select(
+            "id", F.coalesce("_to", "ptr").alias("ptr"), F.coalesce("_to_ts", "ptr_ts").alias("ptr_ts"), "ts", F.col("_to").isNotNull().alias("moving")
         )
-        rest = cur.filter("not moving").select("id", "ptr", "ptr_ts", "ts", "moving")
-        new = stage.put(moved.unionByName(rest), f"r{k + 1}")
-        stage.drop(f"r{k}")
-        if new.filter("moving").isEmpty():
-            return new.drop("moving")
-        cur, k = new, k + 1
+        k += 1
+        new = stage.put(moved, f"r{k}")
+        resting.append(new.filter("not moving").select(*cols))
+        moving = new.filter("moving").select(*cols)
+        if moving.isEmpty():
+            return reduce(DataFrame.unionByName, resting)
 
 
 def near_runs(fixes: DataFrame, metres: float = 5.0, block_us: int = BLOCK_US) -> DataFrame:
