@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_core import CLASH, hav
 from trackmeter.functions.geo import EARTH_RADIUS_M
@@ -317,23 +318,25 @@ def test_schema_drift(spark):
     df = spark.createDataFrame(lines, "file_id string, line_no int, line string").selectExpr("*", "'x' as names", "1 as field")
     fields = [("event-id", "integer"), ("timestamp", "text"), ("ground-speed", "decimal"), ("heading", "decimal"), ("manually-marked-outlier", "boolean")]
     dic = spark.createDataFrame(fields, "field string, value_type string")
-    heads = drift.headers(df, dic)
+    approvals = spark.createDataFrame([("Speed [kn]", "ground-speed"), ("nothing", "no field"), (None, "heading")], "header string, field string")
+    heads = drift.headers(df, dic, approvals)
     table = drift.ingest(df, heads, dic)
     r = {(x.file_id, x.line_no): x for x in table.collect()}
     assert r["f1", 1]["ground-speed"] == 1.5 and r["f1", 1]["manually-marked-outlier"] is True and r["f1", 1]["_rescued"] == '{"odd":"a,b"}'
     assert r["f1", 3]["ground-speed"] is None and r["f1", 3]["_rescued"] is None
     assert r["f2", 1]["ground-speed"] is None and "2,5 m/s" in r["f2", 1]["_rescued"]
-    again = {(x.file_id, x.line_no): x for x in drift.replay(table, dic).collect()}
+    again = {(x.file_id, x.line_no): x for x in drift.replay(table, heads, dic).collect()}
     assert again["f2", 1]["ground-speed"] == 2.5 and again["f2", 1]["_rescued"] is None and again["f2", 2]["heading"] == 11.0
     assert again["f1", 1]["_rescued"] == '{"odd":"a,b"}'
     files = spark.createDataFrame([("f1", "u", "2020-01-01"), ("f2", "u", "2020-01-02"), ("f3", "u", "2020-01-03"), ("f5", None, "2020-01-01")], "file_id string, uuid string, exported_at string")
-    got = {(x.file_id, x.field, x.change_kind) for x in drift.changes(files, drift.profile(df, heads)).collect()}
+    got = {(x.file_id, x.field, x.change_kind) for x in drift.changes(files, drift.profile(drift.replay(table, heads, dic), heads, dic)).collect()}
     assert got == {
         ("f2", "ground-speed", "renamed"), ("f2", "ground-speed", "retyped"), ("f2", "heading", "added"), ("f2", "manually-marked-outlier", "removed"),
         ("f3", "ground-speed", "renamed"), ("f3", "ground-speed", "retyped"), ("f3", "heading", "removed"),
     }
     none = df.limit(0)
-    assert drift.profile(none, drift.headers(none, dic)).count() == 0
+    no_heads = drift.headers(none, dic)
+    assert drift.profile(drift.replay(drift.ingest(none, no_heads, dic), no_heads, dic), no_heads, dic).count() == 0
 
 
 def test_what_does_not_cast_is_kept(spark, tmp_path):
@@ -343,3 +346,27 @@ def test_what_does_not_cast_is_kept(spark, tmp_path):
     spark.createDataFrame(fields, "field string, value_type string").write.parquet(str(tmp_path / "field_dictionary.parquet"))
     got = [tuple(r) for r in problem_queries.QUERIES["p2_rescued"](spark, str(tmp_path)).collect()]
     assert got == [("f", 1, '{"ground-speed":"fast"}')]
+
+
+def test_extra_and_doubled_headers_are_preserved(spark):
+    lines = [("f", 0, "event-id,x,x,ground-speed"), ("f", 1, "1,a,b,2.5,more"), ("f", 2, "2,,c,"), ("f", 3, 'no,"q""r",,9')]
+    df = spark.createDataFrame(lines, "file_id string, line_no int, line string")
+    dic = spark.createDataFrame([("event-id", "integer"), ("ground-speed", "decimal")], "field string, value_type string")
+    heads = drift.headers(df, dic)
+    got = {r.line_no: r._rescued for r in drift.ingest(df, heads, dic).collect()}
+    assert got == {1: '{"x":"a","x_2":"b","_extra_4":"more"}', 2: '{"x_2":"c"}', 3: r'{"event-id":"no","x":"q\"r"}'}
+    again = {r.line_no: r for r in drift.replay(drift.ingest(df, heads, dic), heads, dic).collect()}
+    assert again[3]._rescued == got[3] and again[3]["event-id"] is None and again[3]._spelled == [drift.TEXT, drift.INTEGER]
+
+
+def test_changes_come_from_the_rescued_values(spark):
+    """Without the rescued values a field under an approved header would have no type, and so no retyping."""
+    lines = [("f1", 0, "event-id,ground-speed"), ("f1", 1, "1,2.5"), ("f2", 0, "event-id,Speed"), ("f2", 1, "2,fast"), ("f2", 2, "3,4.5")]
+    df = spark.createDataFrame(lines, "file_id string, line_no int, line string")
+    dic = spark.createDataFrame([("event-id", "integer"), ("ground-speed", "decimal")], "field string, value_type string")
+    files = spark.createDataFrame([("f1", "u", "2020-01-01"), ("f2", "u", "2020-01-02")], "file_id string, uuid string, exported_at string")
+    heads = drift.headers(df, dic, spark.createDataFrame([("speed", "ground-speed")], "header string, field string"))
+    table = drift.replay(drift.ingest(df, heads, dic), heads, dic)
+    found = lambda t: {(r.field, r.change_kind, r.before, r.after) for r in drift.changes(files, drift.profile(t, heads, dic)).collect()}
+    assert found(table) == {("ground-speed", "renamed", "ground-speed", "speed"), ("ground-speed", "retyped", "decimal", "text")}
+    assert found(drift.replay(drift.ingest(df, heads, dic).withColumn("_rescued", F.lit(None).cast("string")), heads, dic)) == {("ground-speed", "renamed", "ground-speed", "speed")}

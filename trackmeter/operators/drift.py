@@ -2,34 +2,27 @@
 
 Fields whose header is the target schema's own name and whose value casts go to typed columns at
 once; everything else is kept as JSON in ``_rescued``. Approved headers are then promoted, and the
-rescued values replayed into the typed columns. Changes between a deposit's files are reported from
-the same parsed fields.
+rescued values replayed into the typed columns. How each value was spelled is kept beside it, so the
+changes between a deposit's files are read from the ingested table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: approved headers (letters and digits only, without units and name space) and the field they stand for
-APPROVED = {
-    "speedoverground": "ground-speed",
-    "vitessesol": "ground-speed",
-    "heightellipsoid": "height-above-ellipsoid",
-    "ellipsoidheight": "height-above-ellipsoid",
-    "hauteurellipsoide": "height-above-ellipsoid",
-    "manualoutlier": "manually-marked-outlier",
-    "markedoutliermanually": "manually-marked-outlier",
-    "outlier": "manually-marked-outlier",
-    "aberrantmarquemain": "manually-marked-outlier",
-    "headingdegrees": "heading",
-    "exttemperature": "external-temperature",
-}
+#: words that stand for true and false besides these themselves
 TRUE_WORDS = ("true", "yes", "1", "outlier")
 FALSE_WORDS = ("false", "no", "0", "ok")
 DELIMITERS = (",", ";", "\t", "|")
 SQL_TYPES = {"boolean": "boolean", "integer": "bigint", "decimal": "double", "text": "string"}
 MOST_FIELDS = 5_000
+#: spellings of a value, as bits
+BOOLEAN, INTEGER, DECIMAL, TEXT = 1, 2, 4, 8
+INTEGER_RE = r"^[+-]?[0-9]+$"
+DECIMAL_RE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"
 HIDDEN, DOUBLED = "\u0001", "\u0002"
 
 
@@ -62,18 +55,30 @@ def split_line(line: Column, delimiter: Column) -> Column:
     return F.when(F.contains(line, F.lit('"')), values).otherwise(F.split(line, pattern))
 
 
-def headers(lines: DataFrame, dictionary: DataFrame, approved: dict[str, str] | None = None) -> DataFrame:
-    """``file_id, delimiter, names, exact, resolved``: one row a file, from its line 0.
+def approved_fields(approvals: DataFrame | None, own: Sequence[str]) -> dict[str, str]:
+    """Header key -> field of a table ``header, field``; a header approved twice stands for the smallest field."""
+    if approvals is None:
+        return {}
+    rows = approvals.filter("header is not null and field is not null").groupBy(header_key(F.col("header")).alias("k")).agg(F.min("field").alias("field"))
+    rows = rows.limit(MOST_FIELDS + 1).collect()
+    if len(rows) > MOST_FIELDS:
+        raise ValueError(f"more than {MOST_FIELDS} approved headers")
+    return {r.k: r.field.strip().lower() for r in rows if r.field.strip().lower() in own}
+
+
+def headers(lines: DataFrame, dictionary: DataFrame, approvals: DataFrame | None = None) -> DataFrame:
+    """``file_id, delimiter, names, exact, resolved, own_at, header_of``: one row a file, from its line 0.
 
     names: headers as written, trimmed and in lower case; exact: the field of that very name; resolved:
-    the field it stands for. If two headers of a file stand for one field the first counts. The
-    delimiter is the candidate most frequent outside quotes. Files without a header line give no row.
+    the field it stands for, by its own name or by ``approvals`` (``header, field``). If two headers of
+    a file stand for one field the first counts. For each field of the dictionary in turn, own_at is the
+    place of the header of its own name and header_of the header that stands for it. The delimiter is
+    the candidate most frequent outside quotes. Files without a header line give no row.
     """
-    approved = APPROVED if approved is None else approved
     own = [f for f, _ in fields_of(dictionary)]
     lit_map = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) if d else F.lit(None).cast("map<string,string>")
     keys = lines.sparkSession.range(1).select(F.array(*[header_key(F.lit(f)) for f in own]).alias("k")).first().k if own else []
-    known = lit_map({k: v for k, v in approved.items() if v in own} | dict(zip(keys, own, strict=True)))
+    known = lit_map(approved_fields(approvals, own) | dict(zip(keys, own, strict=True)))
     exact = lit_map({f: f for f in own})
     bare = F.regexp_replace("line", '"[^"]*"', "q")
     count = lambda d: F.struct(F.length(bare) - F.length(F.replace(bare, F.lit(d))), F.lit(d).alias("d"))
@@ -81,6 +86,7 @@ def headers(lines: DataFrame, dictionary: DataFrame, approved: dict[str, str] |
     head = head.withColumn("delimiter", F.greatest(*[count(d) for d in DELIMITERS])["d"])
     names = F.transform(split_line(F.col("line"), F.col("delimiter")), lambda x: F.lower(F.trim(x, F.lit(" \t\r\n﻿"))))
     once = lambda a: F.transform(a, lambda f, i: F.when(F.array_position(a, f) == i + 1, f))
+    fields = F.array(*[F.lit(f) for f in own]).cast("array<string>")
     return (
         head.select("file_id", "delimiter", names.alias("names"))
         .withColumns(
@@ -90,11 +96,17 @@ def headers(lines: DataFrame, dictionary: DataFrame, approved: dict[str, str] |
             }
         )
         .withColumns({"exact": once(F.col("exact")), "resolved": once(F.col("resolved"))})
+        .withColumns(
+            {
+                "own_at": F.transform(fields, lambda f: F.nullif(F.array_position("exact", f).cast("int"), F.lit(0))),
+                "header_of": F.transform(fields, lambda f: F.get("names", F.nullif(F.array_position("resolved", f).cast("int"), F.lit(0)) - 1)),
+            }
+        )
     )
 
 
 def parsed(lines: DataFrame, heads: DataFrame) -> DataFrame:
-    """``file_id, line_no, names, exact, resolved, vals`` of the lines under a header; blank values become null."""
+    """``file_id, line_no, vals`` and the file's header columns, for the lines under a header; blank values become null."""
     body = lines.filter("line_no > 0 and line is not null").select("file_id", "line_no", "line")
     value = lambda x: F.when(F.trim(x) != "", F.trim(x))
     vals = F.transform(split_line(F.rtrim(F.col("line"), F.lit("\r\n")), F.col("delimiter")), value)
@@ -106,111 +118,116 @@ def strict_cast(value: Column, kind: str) -> Column:
     if kind == "boolean":
         return F.when(F.lower(value) == "true", True).when(F.lower(value) == "false", False)
     if kind == "integer":
-        return F.when(value.rlike(r"^[+-]?[0-9]+$"), value.try_cast("bigint"))
+        return F.when(value.rlike(INTEGER_RE), value.try_cast("bigint"))
     if kind == "decimal":
-        return F.when(value.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), value.try_cast("double"))
+        return F.when(value.rlike(DECIMAL_RE), value.try_cast("double"))
     return value
 
 
-def lenient_cast(value: Column, kind: str) -> Column:
+def lenient_cast(value: Column, kind: str, true_words: Sequence[str] = TRUE_WORDS, false_words: Sequence[str] = FALSE_WORDS) -> Column:
     """The value in the field's type in any known spelling: decimal commas, units behind, words for marks."""
     if kind == "boolean":
         word = F.lower(value)
-        return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
+        return F.when(word.isin(*true_words), True).when(word.isin(*false_words), False)
     if kind in ("integer", "decimal"):
         number = F.replace(F.regexp_extract(value, r"^([+-]?[0-9]*[.,]?[0-9]+)\s*\p{L}*(/\p{L}+)?$", 1), F.lit(","), F.lit("."))
         return strict_cast(F.when(number != "", number), kind)
     return value
 
 
+def spelling(value: Column) -> Column:
+    """How a value is spelled, as one bit; null stays null."""
+    kind = F.when(F.lower(value).isin("true", "false"), BOOLEAN).when(value.rlike(INTEGER_RE), INTEGER).when(value.rlike(DECIMAL_RE), DECIMAL).otherwise(TEXT)
+    return F.when(value.isNotNull(), kind)
+
+
 def ingest(lines: DataFrame, heads: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """``file_id, line_no``, a typed column per dictionary field, and ``_rescued``.
+    """``file_id, line_no``, a typed column per dictionary field, ``_spelled`` and ``_rescued``.
 
     ``_rescued`` is a JSON object from header to raw text of all that the target schema does not take:
     other headers, values that do not cast, and values beyond the header (under ``_extra_<place>``).
-    Null where nothing was rescued. Lines cut short leave the missing fields null.
+    Null where nothing was rescued. Lines cut short leave the missing fields null. ``_spelled`` holds
+    the spelling of each typed value, by place in the dictionary.
     """
     df = parsed(lines, heads)
-    at = lambda f: F.get("vals", F.array_position("exact", F.lit(f)).cast("int") - 1)
-    typed = {f: F.when(F.array_contains("exact", F.lit(f)), strict_cast(at(f), k)) for f, k in fields_of(dictionary)}
-    taken = F.map_from_arrays(F.array(*[F.lit(f) for f in typed]), F.array(*[v.isNotNull() for v in typed.values()]))
+    fields = fields_of(dictionary)
+    at = lambda i: F.get("vals", F.get("own_at", F.lit(i)) - 1)
+    typed = {f: strict_cast(at(i), k) for i, (f, k) in enumerate(fields)}
+    uncast = F.array_compact(F.array(*[F.when(at(i).isNotNull() & typed[f].isNull(), F.lit(f)) for i, (f, _) in enumerate(fields)]).cast("array<string>"))
+    spelled = F.array(*[F.when(typed[f].isNotNull(), spelling(at(i))) for i, (f, _) in enumerate(fields)]).cast("array<int>")
     cells = F.transform(
         "vals",
         lambda v, i: F.struct(
             F.coalesce(F.get("names", i), F.concat(F.lit("_extra_"), i.cast("string"))).alias("key"),
             v.alias("value"),
-            F.coalesce(taken[F.get("exact", i)], F.lit(False)).alias("taken"),
+            F.get("exact", i).alias("field"),
             i.alias("i"),
         ),
     )
-    left = F.filter(cells, lambda c: c["value"].isNotNull() & ~c["taken"])
+    left = F.filter(cells, lambda c: c["value"].isNotNull() & (c["field"].isNull() | F.array_contains("_uncast", c["field"])))
     unique = F.transform(
         left,
         lambda c: F.struct(
-            F.when(F.array_position("names", c["key"]) - 1 < c["i"], F.concat(c["key"], F.lit("_"), c["i"].cast("string")))
+            F.when(F.array_position("names", c["key"]).between(1, c["i"]), F.concat(c["key"], F.lit("_"), c["i"].cast("string")))
             .otherwise(c["key"])
             .alias("key"),
             c["value"].alias("value"),
         ),
     )
     rescued = F.when(F.size(left) > 0, F.to_json(F.map_from_entries(unique)))
-    return df.select("file_id", "line_no", *[v.alias(f) for f, v in typed.items()], rescued.alias("_rescued"))
+    df = df.withColumn("_uncast", uncast)
+    return df.select("file_id", "line_no", *[v.alias(f) for f, v in typed.items()], spelled.alias("_spelled"), rescued.alias("_rescued"))
 
 
-def replay(table: DataFrame, dictionary: DataFrame, approved: dict[str, str] | None = None) -> DataFrame:
+def replay(table: DataFrame, heads: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Promotes approved headers: rescued values that now cast move into their empty typed columns.
 
-    What still has no place stays in ``_rescued``. May be run again whenever headers are approved.
+    ``heads`` resolves each file's headers once, with the approvals of the day; a line only looks up
+    the header that stands for a field. What still has no place stays in ``_rescued``, but counts for
+    ``_spelled`` where its header stands for a field. May be run again whenever headers are approved.
     """
-    approved = APPROVED if approved is None else approved
-    fields = dict(fields_of(dictionary))
-    rescued = F.from_json("_rescued", "map<string,string>")
-    df = table.withColumn("_m", rescued)
-    keyed = F.map_from_entries(F.transform(F.map_entries("_m"), lambda e: F.struct(e["key"], e["value"])))
-    out = {}
-    moved = F.array().cast("array<string>")
-    for f, kind in fields.items():
-        ways = {k for k, v in approved.items() if v == f}
-        stands = lambda k, f=f, ways=ways: (header_key(k) == header_key(F.lit(f))) | header_key(k).isin(*ways)
-        hit = F.filter(F.map_entries(keyed), lambda e: stands(e["key"]) & lenient_cast(e["value"], kind).isNotNull())  # noqa: B023
-        use = F.col(f"`{f}`").isNull() & (F.size(hit) > 0)
-        out[f] = F.when(use, lenient_cast(hit[0]["value"], kind)).otherwise(F.col(f"`{f}`"))
-        moved = F.concat(moved, F.when(use, F.array(hit[0]["key"])).otherwise(F.array().cast("array<string>")))
-    rest = F.map_filter("_m", lambda k, v: ~F.array_contains(F.col("_moved"), k))
-    df = df.withColumn("_moved", F.when(F.col("_m").isNotNull(), moved))
+    df = table.join(heads.select("file_id", "header_of"), "file_id", "left").withColumn("_m", F.from_json("_rescued", "map<string,string>"))
+    some = F.col("_m").isNotNull()
+    out, moved, spelled = {}, [], []
+    for i, (f, kind) in enumerate(fields_of(dictionary)):
+        raw = F.col("_m")[F.get("header_of", F.lit(i))]
+        cast = lenient_cast(raw, kind)
+        out[f] = F.when(some & F.col(f"`{f}`").isNull(), cast).otherwise(F.col(f"`{f}`"))
+        moved.append(F.when(F.col(f"`{f}`").isNull() & cast.isNotNull(), F.get("header_of", F.lit(i))))
+        spelled.append(F.coalesce(F.get("_spelled", F.lit(i)), spelling(raw)))
+    rest = F.map_filter("_m", lambda k, v: ~F.array_contains("_moved", k))
+    df = df.withColumn("_moved", F.when(some, F.array_compact(F.array(*moved).cast("array<string>"))))
     return df.select(
         "file_id",
         "line_no",
-        *[F.when(F.col("_m").isNull(), F.col(f"`{f}`")).otherwise(v).alias(f) for f, v in out.items()],
-        F.when(F.col("_m").isNotNull() & (F.size(rest) > 0), F.to_json(rest)).alias("_rescued"),
+        *[v.alias(f) for f, v in out.items()],
+        F.when(some, F.array(*spelled).cast("array<int>")).otherwise(F.col("_spelled")).alias("_spelled"),
+        F.when(some & (F.size(rest) > 0), F.to_json(rest)).alias("_rescued"),
     )
 
 
-def profile(lines: DataFrame, heads: DataFrame) -> DataFrame:
-    """``file_id, field, header, kind, n_values``: the fields of each file as they are there.
+def profile(table: DataFrame, heads: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``file_id, field, header, kind``: the fields of each file as they are there, from the replayed table.
 
     kind: boolean if all values that aren't empty are true/false, else integer, decimal or text; null
-    if there is no value. Values are counted before the shuffle, so a huge file is no hot spot.
+    if there is no value. The spellings of a file are joined bit by bit before the shuffle, so a huge
+    file is no hot spot.
     """
-    present = heads.select("file_id", F.explode(F.arrays_zip("resolved", "names")).alias("h")).select(
-        "file_id", F.col("h.resolved").alias("field"), F.col("h.names").alias("header")
-    )
-    cells = parsed(lines, heads).select("file_id", F.explode(F.arrays_zip("resolved", "vals")).alias("c"))
-    v = F.col("c.vals")
-    flag = lambda cond: F.min(cond.cast("int"))
-    kinds = (
-        cells.filter("c.resolved is not null and c.vals is not null")
-        .groupBy("file_id", F.col("c.resolved").alias("field"))
-        .agg(
-            flag(F.lower(v).isin("true", "false")).alias("b"),
-            flag(v.rlike(r"^[+-]?[0-9]+$")).alias("i"),
-            flag(v.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$")).alias("d"),
-            F.count(F.lit(1)).alias("n_values"),
-        )
+    fields = [f for f, _ in fields_of(dictionary)]
+    bits = table.groupBy("file_id").agg(*[F.bit_or(F.get("_spelled", F.lit(i))).alias(f"_{i}") for i in range(len(fields))]) if fields else None
+    masks = F.array(*[F.col(f"_{i}") for i in range(len(fields))]).cast("array<int>")
+    found = heads.select("file_id", "header_of")
+    found = found.join(bits.select("file_id", masks.alias("masks")), "file_id", "left") if fields else found.withColumn("masks", F.lit(None).cast("array<int>"))
+    names = F.array(*[F.lit(f) for f in fields]).cast("array<string>")
+    df = found.select("file_id", "masks", F.posexplode("header_of").alias("i", "header")).filter("header is not null")
+    mask = F.get("masks", F.col("i"))
+    kind = (
+        F.when(mask == BOOLEAN, "boolean")
+        .when(mask == INTEGER, "integer")
+        .when(mask.bitwiseAND(F.lit(~(INTEGER | DECIMAL))) == 0, "decimal")
+        .when(mask.isNotNull(), "text")
     )
-    kind = F.when(F.col("b") == 1, "boolean").when(F.col("i") == 1, "integer").when(F.col("d") == 1, "decimal").when(F.col("n_values") > 0, "text")
-    df = present.filter("field is not null").join(kinds, ["file_id", "field"], "left")
-    return df.select("file_id", "field", "header", kind.alias("kind"), F.coalesce("n_values", F.lit(0)).alias("n_values"))
+    return df.select("file_id", F.get(names, F.col("i")).alias("field"), "header", kind.alias("kind"))
 
 
 def changes(files: DataFrame, fields: DataFrame) -> DataFrame:

@@ -49,6 +49,14 @@ s as (select *, sum(b) over (partition by a order by t, e rows unbounded precedi
 select first(e order by t, e) first_event_id, last(e order by t, e) last_event_id from s group by a, k
 """
 
+P5_SESSIONS = f"""
+with {PLACED},
+g as (select *, case when t - lag(t) over w <= 3600000000 then 0 else 1 end b from dated window w as (partition by a order by t, e)),
+s as (select *, sum(b) over (partition by a order by t, e rows unbounded preceding) k from g)
+select a entity, k session_no, first(e order by t, e) first_event_id, last(e order by t, e) last_event_id, min(t) start_us, max(t) end_us,
+  (max(t) - min(t)) / 1e6 duration_s, count(*) n_records from s group by a, k
+"""
+
 P6_FOUND = f"""
 with {PLACED},
 ok as (select e, a, la, lo from placed where abs(la) <= 90 and abs(lo) <= 180 and not (la = 0 and lo = 0)),
@@ -152,8 +160,27 @@ _TABLE = {
     **{f: "x" for f in ("timestamp", "individual-local-identifier", "tag-local-identifier", "sensor-type", "eobs:status")},
 }
 
+_STRICT = """case d.value_type when 'boolean' then lower(x) in ('true', 'false')
+  when 'integer' then regexp_full_match(x, '[+-]?[0-9]+') and try_cast(x as bigint) is not null
+  when 'decimal' then regexp_full_match(x, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)') else true end"""
+_NUMBER = "nullif(regexp_extract(x, '^([+-]?[0-9]*[.,]?[0-9]+)\\s*\\pL*(/\\pL+)?$', 1), '')"
+_LENIENT = f"""case k.value_type when 'boolean' then lower(x) in ('true', 'yes', '1', 'outlier', 'false', 'no', '0', 'ok')
+  when 'integer' then coalesce(regexp_full_match({_NUMBER}, '[+-]?[0-9]+'), false) when 'decimal' then {_NUMBER} is not null else true end"""
+_CELLS = f"""
+place as (select b.file_id, b.line_no, h, v, unnest(range(1, len(v) + 1)) i from body b join head using (file_id)),
+named as (select file_id, line_no, i, nullif(trim(v[i]), '') x, h[i] "name", list_position(h, h[i]) first_at from place),
+full_cell as (select n.*, coalesce(case when first_at < n.i then "name" || '_' || (n.i - 1) else "name" end, '_extra_' || (n.i - 1)) as "key",
+  d.field is not null and {_STRICT} as typed, c.field is not null and {_LENIENT} as promoted
+  from named n left join field_dictionary d on d.field = "name" and first_at = n.i
+  left join col c on c.file_id = n.file_id and c.i = n.i left join field_dictionary k on k.field = c.field where x is not null)
+"""
+_JSON = """'{' || string_agg(to_json("key")::varchar || ':' || to_json(x)::varchar, ',' order by i) || '}'"""
+P2_PRESERVED = f"with {_PARSED}, {_CELLS} select file_id, line_no, {_JSON} _rescued from full_cell where not typed group by 1, 2"
+P2_RESCUED = f"with {_PARSED}, {_CELLS} select file_id, line_no, {_JSON} _rescued from full_cell where not typed and not promoted group by 1, 2"
+
 P2_TABLE = f"""
-with {_PARSED}
-select b.file_id, b.line_no, {", ".join(f'max(case when field = {chr(39)}{f}{chr(39)} then {e} end) "{f}"' for f, e in _TABLE.items())}
-from body b left join cell c using (file_id, line_no) group by 1, 2
+with {_PARSED}, {_CELLS},
+rest as (select file_id, line_no, {_JSON} r from full_cell where not typed and not promoted group by 1, 2)
+select b.file_id, b.line_no, any_value(rest.r) _rescued, {", ".join(f'max(case when field = {chr(39)}{f}{chr(39)} then {e} end) "{f}"' for f, e in _TABLE.items())}
+from body b left join cell c using (file_id, line_no) left join rest using (file_id, line_no) group by 1, 2
 """

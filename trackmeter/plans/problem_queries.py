@@ -24,31 +24,61 @@ def p1_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_cells(Steps(Tables(spark, sf_dir).position_fixes, 0.95, 3, BLOCK_US).cells)
 
 
+#: headers approved for promotion into a field of the dictionary; case, blanks, marks and units do not matter
+APPROVALS = (
+    ("speed over ground", "ground-speed"),
+    ("vitesse sol", "ground-speed"),
+    ("height ellipsoid", "height-above-ellipsoid"),
+    ("ellipsoid height", "height-above-ellipsoid"),
+    ("hauteur ellipsoide", "height-above-ellipsoid"),
+    ("manual outlier", "manually-marked-outlier"),
+    ("marked outlier manually", "manually-marked-outlier"),
+    ("outlier", "manually-marked-outlier"),
+    ("aberrant marque main", "manually-marked-outlier"),
+    ("heading degrees", "heading"),
+    ("ext temperature", "external-temperature"),
+)
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All lines of all files in one typed table after the replay of rescued values; and the files' headers."""
+    t = Tables(spark, sf_dir)
+    heads = drift.headers(t.export_lines, t.field_dictionary, spark.createDataFrame(list(APPROVALS), "header string, field string"))
+    return drift.replay(drift.ingest(t.export_lines, heads, t.field_dictionary), heads, t.field_dictionary), heads
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    fields = drift.profile(t.export_lines, drift.headers(t.export_lines, t.field_dictionary))
-    return drift.changes(t.export_files, fields).select("file_id", "field", "change_kind")
+    table, heads = _ingested(spark, sf_dir)
+    return drift.changes(t.export_files, drift.profile(table, heads, t.field_dictionary)).select("file_id", "field", "change_kind")
 
 
 def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines of all files in one typed table, after the replay of rescued values."""
+    """The typed table with what has no place in it, as JSON from header to raw text."""
+    return _ingested(spark, sf_dir)[0].drop("_spelled")
+
+
+def p2_preserved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ingestion alone preserves by line, before headers are promoted."""
     t = Tables(spark, sf_dir)
     heads = drift.headers(t.export_lines, t.field_dictionary)
-    return drift.replay(drift.ingest(t.export_lines, heads, t.field_dictionary), t.field_dictionary).drop("_rescued")
+    return drift.ingest(t.export_lines, heads, t.field_dictionary).filter("_rescued is not null").select("file_id", "line_no", "_rescued")
 
 
 def p2_rescued(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What has no place in ``p2_table``, by line, as JSON from header to raw text."""
-    t = Tables(spark, sf_dir)
-    heads = drift.headers(t.export_lines, t.field_dictionary)
-    table = drift.replay(drift.ingest(t.export_lines, heads, t.field_dictionary), t.field_dictionary)
-    return table.filter("_rescued is not null").select("file_id", "line_no", "_rescued")
+    return _ingested(spark, sf_dir)[0].filter("_rescued is not null").select("file_id", "line_no", "_rescued")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(Tables(spark, sf_dir).position_fixes).select("first_event_id", "last_event_id")
 
 
+def p5_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each session with its start, end, duration and number of records."""
+    return sessions(Tables(spark, sf_dir).position_fixes)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pairs(Tables(spark, sf_dir).position_fixes).select("event_id_a", "event_id_b")
 
@@ -88,8 +118,10 @@ QUERIES = {
     "p1_cells": p1_cells,
     "p2_found": p2_found,
     "p2_table": p2_table,
+    "p2_preserved": p2_preserved,
     "p2_rescued": p2_rescued,
     "p5_found": p5_found,
+    "p5_sessions": p5_sessions,
     "p6_found": p6_found,
     "p6_regions": p6_regions,
     "p7_found": p7_found,
@@ -99,7 +131,10 @@ ORACLES = {
     "p1_found": sql.P1_FOUND,
     "p2_found": sql.P2_FOUND,
     "p2_table": sql.P2_TABLE,
+    "p2_preserved": sql.P2_PRESERVED,
+    "p2_rescued": sql.P2_RESCUED,
     "p5_found": sql.P5_FOUND,
+    "p5_sessions": sql.P5_SESSIONS,
     "p6_found": sql.P6_FOUND,
     "p6_regions": sql.P6_REGIONS,
     "p7_found": sql.P7_FOUND,
