@@ -60,22 +60,21 @@ def duplicate_share(parts: Column) -> Column:
     return let(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""), share)
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """Each measure as an expression of built-in functions; a rule table uses those it names.
+def measures(t: Column, w: Column) -> dict[str, Column]:
+    """Each measure of a text and its words as an expression of built-in functions; a rule table uses those it names.
 
-    Null and empty texts have length 0 and ratios 0.
+    Empty texts have length 0 and ratios 0.
     """
-    t = F.coalesce(text, F.lit(""))
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
     removed = lambda cls: F.length(t) - F.length(F.regexp_replace(t, cls, ""))
     lines = F.split(t, r"\r\n|\r|\n")
     stop = F.array(*[F.lit(x) for x in sorted(set(STOP_WORDS))])
     return {
         "n_chars": F.length(t),
-        "n_words": F.size(words(t)),
-        "repeated_word_share": let(words(t), lambda w: ratio(repeated_words(w), F.size(w))),
+        "n_words": F.size(w),
+        "repeated_word_share": ratio(repeated_words(w), F.size(w)),
         "symbol_ratio": ratio(removed(r"[\p{P}\p{S}]+"), F.length(t)),
-        "stop_word_ratio": let(words(t), lambda w: ratio(F.size(F.filter(w, lambda x: F.array_contains(stop, x))), F.size(w))),
+        "stop_word_ratio": ratio(F.size(F.filter(w, lambda x: F.array_contains(stop, x))), F.size(w)),
         "duplicate_line_share": duplicate_share(lines),
         "duplicate_paragraph_share": duplicate_share(F.split(t, r"(?:\r\n|\r|\n)\s*(?:\r\n|\r|\n)")),
         "duplicate_sentence_share": duplicate_share(F.split(t, r"(?<=[.!?])\s+")),
@@ -83,6 +82,18 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
+MEASURES = (
+    "n_chars", "n_words", "repeated_word_share", "symbol_ratio", "stop_word_ratio",
+    "duplicate_line_share", "duplicate_paragraph_share", "duplicate_sentence_share", "mean_line_chars",
+)
+
+
+def _known(names: Sequence[str]) -> list[str]:
+    if unknown := [m for m in names if m not in MEASURES]:
+        raise ValueError(f"unknown measures {unknown}")
+    return list(dict.fromkeys(names))
+
+
 #: measure, comparison, limit: the rules reported one by one
 RULES = (
     ("repeated_word_share", ">=", 0.30),
@@ -119,11 +130,11 @@ def judged(docs: DataFrame, rules: Sequence[tuple[str, str, float]] = RULES, sho
     One projection without shuffle or user function, whatever the number of rules; one result row per
     input row. Repeated rows give repeated results; extra columns are ignored.
     """
-    known = measures(F.col("text"))
-    need = list(dict.fromkeys([*[m for m, _, _ in rules], *show]))
-    if unknown := [m for m in need if m not in known]:
-        raise ValueError(f"unknown measures {unknown}")
-    df = docs.select("doc_id", *[known[m].alias(m) for m in need])
+    need = _known([*[m for m, _, _ in rules], *show])
+    t = F.coalesce("text", F.lit(""))
+    # words and measures are found once a text: the optimizer does not repeat what a generator gives
+    found = F.transform(F.array(words(t)), lambda w: F.struct(*[measures(t, w)[m].alias(m) for m in need], F.lit(0).alias("_")))
+    df = docs.select("doc_id", F.inline(found)).drop("_")
     broken = [F.when(COMPARE[op](F.col(m), F.lit(limit)), F.lit(f"{m} {op} {limit:g}")) for m, op, limit in rules]
     return df.withColumn("broken", F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>"))
 
@@ -134,10 +145,17 @@ def repetitive(docs: DataFrame, table: Sequence[tuple[str, str, float]] = REPETI
     Rules are asked in the table's order; once one does not hold, no later measure is computed. Null
     and empty texts hold none with a positive lower limit.
     """
-    known = measures(F.col("text"))
-    if unknown := [m for m, _, _ in table if m not in known]:
-        raise ValueError(f"unknown measures {unknown}")
-    holds = F.lit(True)
-    for m, op, limit in reversed(table):
-        holds = F.when(COMPARE[op](known[m], F.lit(limit)), holds).otherwise(False)
-    return docs.filter(holds).select("doc_id")
+    _known([m for m, _, _ in table])
+    t = F.coalesce("text", F.lit(""))
+
+    def holds(rows: Sequence[tuple[str, str, float]], w: Column | None) -> Column:
+        done = F.lit(True)
+        for m, op, limit in reversed(rows):
+            done = F.when(COMPARE[op](F.length(t) if m == "n_chars" else measures(t, w)[m], F.lit(limit)), done).otherwise(False)
+        return done
+
+    first = 0
+    while first < len(table) and table[first][0] == "n_chars":
+        first += 1  # these need no words
+    rest = let(words(t), lambda w: holds(table[first:], w)) if first < len(table) else F.lit(True)
+    return docs.filter(F.when(holds(table[:first], None), rest).otherwise(False)).select("doc_id")
