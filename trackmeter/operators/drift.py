@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackmeter.session import Written
+
 #: words that stand for true and false besides these themselves
 TRUE_WORDS = ("true", "yes", "1", "outlier")
 FALSE_WORDS = ("false", "no", "0", "ok")
@@ -87,22 +89,17 @@ def headers(lines: DataFrame, dictionary: DataFrame, approvals: DataFrame | None
     names = F.transform(split_line(F.col("line"), F.col("delimiter")), lambda x: F.lower(F.trim(x, F.lit(" \t\r\n﻿"))))
     once = lambda a: F.transform(a, lambda f, i: F.when(F.array_position(a, f) == i + 1, f))
     fields = F.array(*[F.lit(f) for f in own]).cast("array<string>")
-    return (
-        head.select("file_id", "delimiter", names.alias("names"))
-        .withColumns(
-            {
-                "exact": F.transform("names", lambda x: exact[x]),
-                "resolved": F.transform("names", lambda x: F.coalesce(exact[x], known[header_key(x)])),
-            }
-        )
-        .withColumns({"exact": once(F.col("exact")), "resolved": once(F.col("resolved"))})
-        .withColumns(
-            {
-                "own_at": F.transform(fields, lambda f: F.nullif(F.array_position("exact", f).cast("int"), F.lit(0))),
-                "header_of": F.transform(fields, lambda f: F.get("names", F.nullif(F.array_position("resolved", f).cast("int"), F.lit(0)) - 1)),
-            }
-        )
-    )
+    # one row a file, written step by step: an array named within a lambda is computed anew for each element
+    stage = Written(lines.sparkSession)
+    heads = stage.put(head.select("file_id", "delimiter", names.alias("names")), "names")
+    seen = {"exact": F.transform("names", lambda x: exact[x]), "resolved": F.transform("names", lambda x: F.coalesce(exact[x], known[header_key(x)]))}
+    heads = stage.put(heads.withColumns(seen), "seen")
+    heads = stage.put(heads.withColumns({c: once(F.col(c)) for c in seen}), "once")
+    at = {
+        "own_at": F.transform(fields, lambda f: F.nullif(F.array_position("exact", f).cast("int"), F.lit(0))),
+        "header_of": F.transform(fields, lambda f: F.get("names", F.nullif(F.array_position("resolved", f).cast("int"), F.lit(0)) - 1)),
+    }
+    return stage.put(heads.withColumns(at), "heads")
 
 
 def parsed(lines: DataFrame, heads: DataFrame) -> DataFrame:
@@ -146,7 +143,8 @@ def ingest(lines: DataFrame, heads: DataFrame, dictionary: DataFrame) -> DataFra
 
     ``_rescued`` is a JSON object from header to raw text of all that the target schema does not take:
     other headers, values that do not cast, and values beyond the header (under ``_extra_<place>``).
-    Null where nothing was rescued. Lines cut short leave the missing fields null. ``_spelled`` holds
+    Null where nothing was rescued (write the table before you filter by it). Lines cut short leave the
+    missing fields null. ``_spelled`` holds
     the spelling of each typed value, by place in the dictionary.
     """
     df = parsed(lines, heads)
@@ -164,7 +162,8 @@ def ingest(lines: DataFrame, heads: DataFrame, dictionary: DataFrame) -> DataFra
             i.alias("i"),
         ),
     )
-    left = F.filter(cells, lambda c: c["value"].isNotNull() & (c["field"].isNull() | F.array_contains("_uncast", c["field"])))
+    kept = lambda u: F.filter(cells, lambda c: c["value"].isNotNull() & (c["field"].isNull() | F.array_contains(u, c["field"])))
+    left = F.transform(F.array(uncast), kept)[0]  # so that it is computed once a line, not once a cell
     unique = F.transform(
         left,
         lambda c: F.struct(
@@ -174,8 +173,8 @@ def ingest(lines: DataFrame, heads: DataFrame, dictionary: DataFrame) -> DataFra
             c["value"].alias("value"),
         ),
     )
-    rescued = F.when(F.size(left) > 0, F.to_json(F.map_from_entries(unique)))
-    df = df.withColumn("_uncast", uncast)
+    rescued = F.to_json(F.map_from_entries(unique))
+    rescued = F.when(rescued != "{}", rescued)
     return df.select("file_id", "line_no", *[v.alias(f) for f, v in typed.items()], spelled.alias("_spelled"), rescued.alias("_rescued"))
 
 
@@ -188,20 +187,20 @@ def replay(table: DataFrame, heads: DataFrame, dictionary: DataFrame) -> DataFra
     """
     df = table.join(heads.select("file_id", "header_of"), "file_id", "left").withColumn("_m", F.from_json("_rescued", "map<string,string>"))
     some = F.col("_m").isNotNull()
-    out, moved, spelled = {}, [], []
+    out, moved = {}, []
     for i, (f, kind) in enumerate(fields_of(dictionary)):
         raw = F.col("_m")[F.get("header_of", F.lit(i))]
         cast = lenient_cast(raw, kind)
         out[f] = F.when(some & F.col(f"`{f}`").isNull(), cast).otherwise(F.col(f"`{f}`"))
         moved.append(F.when(F.col(f"`{f}`").isNull() & cast.isNotNull(), F.get("header_of", F.lit(i))))
-        spelled.append(F.coalesce(F.get("_spelled", F.lit(i)), spelling(raw)))
+    spelled = F.zip_with("_spelled", "header_of", lambda s, h: F.coalesce(s, spelling(F.col("_m")[h])))
     rest = F.map_filter("_m", lambda k, v: ~F.array_contains("_moved", k))
     df = df.withColumn("_moved", F.when(some, F.array_compact(F.array(*moved).cast("array<string>"))))
     return df.select(
         "file_id",
         "line_no",
         *[v.alias(f) for f, v in out.items()],
-        F.when(some, F.array(*spelled).cast("array<int>")).otherwise(F.col("_spelled")).alias("_spelled"),
+        F.when(some, spelled).otherwise(F.col("_spelled")).alias("_spelled"),
         F.when(some & (F.size(rest) > 0), F.to_json(rest)).alias("_rescued"),
     )
 

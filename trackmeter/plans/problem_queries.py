@@ -12,6 +12,7 @@ from trackmeter.operators.spatial import near_pairs, regions_of_points
 from trackmeter.operators.fixes import BLOCK_US, placed_records
 from trackmeter.operators.spikes import Steps, chosen_cells, implausible
 from trackmeter.plans import problem_oracles as sql
+from trackmeter.session import Written
 from trackmeter.sources.tables import Tables
 
 
@@ -40,16 +41,21 @@ APPROVALS = (
 )
 
 
+def approvals(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(APPROVALS), "header string, field string")
+
+
 def _ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All lines of all files in one typed table after the replay of rescued values; and the files' headers."""
     t = Tables(spark, sf_dir)
-    heads = drift.headers(t.export_lines, t.field_dictionary, spark.createDataFrame(list(APPROVALS), "header string, field string"))
+    heads = drift.headers(t.export_lines, t.field_dictionary, approvals(spark))
     return drift.replay(drift.ingest(t.export_lines, heads, t.field_dictionary), heads, t.field_dictionary), heads
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     table, heads = _ingested(spark, sf_dir)
+    table = Written(spark).put(table, "ingested")  # else each use of a rescued value would parse its line again
     return drift.changes(t.export_files, drift.profile(table, heads, t.field_dictionary)).select("file_id", "field", "change_kind")
 
 
@@ -62,12 +68,14 @@ def p2_preserved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What ingestion alone preserves by line, before headers are promoted."""
     t = Tables(spark, sf_dir)
     heads = drift.headers(t.export_lines, t.field_dictionary)
-    return drift.ingest(t.export_lines, heads, t.field_dictionary).filter("_rescued is not null").select("file_id", "line_no", "_rescued")
+    table = Written(spark).put(drift.ingest(t.export_lines, heads, t.field_dictionary).select("file_id", "line_no", "_rescued"), "ingested")
+    return table.filter("_rescued is not null").select("file_id", "line_no", "_rescued")
 
 
 def p2_rescued(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What has no place in ``p2_table``, by line, as JSON from header to raw text."""
-    return _ingested(spark, sf_dir)[0].filter("_rescued is not null").select("file_id", "line_no", "_rescued")
+    table = Written(spark).put(_ingested(spark, sf_dir)[0].select("file_id", "line_no", "_rescued"), "replayed")
+    return table.filter("_rescued is not null").select("file_id", "line_no", "_rescued")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
