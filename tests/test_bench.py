@@ -36,16 +36,34 @@ def test_wilson_published_intervals(spark):
     assert round(100 * got[3].b, 2) == 6.53 and got[4].a is None
 
 
+def upper_tail_of(spark, z):
+    return spark.range(1).select(upper_tail(F.lit(float(z)))).first()[0]
+
+
+def test_upper_tail_against_the_error_function(spark):
+    for z in (-6.0, -1.3, 0.0, 0.7, 3.1, 4.4, 12.0):
+        assert upper_tail_of(spark, z) == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), rel=2e-7)
+    assert spark.range(1).select(upper_tail(F.lit(None).cast("double"))).first()[0] is None
+
+
 def test_rank_statistics(spark):
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 20, 60), rng.integers(3, 25, 40)
     df = spark.createDataFrame([("lo", float(x)) for x in a] + [("hi", float(x)) for x in b] + [("hi", None)], "g string, v double")
     r = mann_whitney(df, "v", "g", "hi", "lo").first()
     u = sum((x > y) + 0.5 * (x == y) for x in b for y in a)
-    assert r.u == u and (r.n_high, r.n_low) == (40, 60) and 0 < upper_tail(r.z) < 0.5
+    assert r.u == u and (r.n_high, r.n_low) == (40, 60) and 0 < upper_tail_of(spark, r.z) < 0.5
     p = pd.DataFrame({"x": a[:40], "y": b})
     s = spearman(spark.createDataFrame([(float(x), float(y)) for x, y in p.values], "x double, y double"), "x", "y").first()
     assert s.rho == pytest.approx(p.x.rank().corr(p.y.rank()))
+    hot = [(0.0, float(i % 7)) for i in range(200)] + [(float(i), float(i)) for i in range(30)]
+    want = pd.DataFrame(hot).rank().corr().iloc[0, 1]
+    for most in (0, 1000):  # by salts, and by broadcast
+        s = spearman(spark.createDataFrame([*hot, (None, 1.0)], "x double, y double"), "x", "y", most_broadcast=most).first()
+        assert s.rho == pytest.approx(want) and s.n == 230
+    one = spearman(spark.createDataFrame([(1.0, 1.0), (1.0, 2.0)], "x double, y double"), "x", "y").first()
+    none = spearman(spark.createDataFrame([], "x double, y double"), "x", "y").first()
+    assert (one.rho, one.n) == (None, 2) and (none.rho, none.n) == (None, 0)
 
 
 def test_pair_window_burst_break_and_first_fix(spark):

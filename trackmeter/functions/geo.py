@@ -50,7 +50,10 @@ def heading_deg(east, north) -> Column:
 
 
 def utm(lat, lon, central_meridian: float = 15.0, south: bool = True) -> tuple[Column, Column]:
-    """WGS84 to transverse Mercator easting and northing (series in the third flattening)."""
+    """WGS84 to transverse Mercator easting and northing (series in the third flattening).
+
+    NULL where the projection does not hold: beyond 84 degrees of latitude, or 80 from the meridian.
+    """
     a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
     n = f / (2 - f)
     e = 2 * n**0.5 / (1 + n)
@@ -65,4 +68,5 @@ def utm(lat, lon, central_meridian: float = 15.0, south: bool = True) -> tuple[C
     for j, al in enumerate(alpha, 1):
         east = east + al * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + al * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return 500000.0 + k0 * big_a * east, (10_000_000.0 if south else 0.0) + k0 * big_a * north
+    holds = (F.abs(_c(lat)) <= 84) & (F.abs(_c(lon) - central_meridian) <= 80)
+    return F.when(holds, 500000.0 + k0 * big_a * east), F.when(holds, (10_000_000.0 if south else 0.0) + k0 * big_a * north)

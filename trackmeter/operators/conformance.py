@@ -126,15 +126,24 @@ def with_provenance(df: DataFrame) -> DataFrame:
     )
 
 
-def conformance_status(readable: Column, intact: Column, in_scope: Column, converted: Column, errors: Column) -> Column:
-    """The status of a file in order: damaged archive, unreadable, out of scope, conversion failed, (non-)conformant."""
+def conformance_status(
+    readable: Column, intact: Column, in_scope: Column, converted: Column, errors: Column, usable: Column | None = None, mapped: Column | None = None, rows: Column | None = None
+) -> Column:
+    """The status of a file, in order: no usable file, damaged archive, unreadable, out of scope, mapping refused,
+    conversion failed, validation failed (no row to validate), not finished (errors were not counted),
+    non-conformant, conformant."""
     no = lambda c: ~F.coalesce(c, F.lit(False))
+    yes = F.lit(True)
     return (
-        F.when(no(intact), "damaged archive")
+        F.when(no(yes if usable is None else usable), "no usable file")
+        .when(no(intact), "damaged archive")
         .when(no(readable), "unreadable")
         .when(no(in_scope), "out of scope")
+        .when(no(yes if mapped is None else mapped), "mapping refused")
         .when(no(converted), "conversion failed")
-        .when(F.coalesce(errors, F.lit(0)) > 0, "non-conformant")
+        .when(no(yes if rows is None else rows > 0), "validation failed")
+        .when(errors.isNull(), "not finished")
+        .when(errors > 0, "non-conformant")
         .otherwise("conformant")
     )
 
@@ -150,7 +159,8 @@ def file_report(raw: DataFrame, lines: DataFrame, heads: DataFrame, files: DataF
     Errors are lines of another length than the header, values that do not cast to a number, unreadable
     times and coordinates off the globe. A value or time that does not cast, or a line longer than its
     header, stops the conversion. A file with fewer lines than ``n_records`` is cut, hence damaged; one
-    without header is unreadable.
+    without header is unreadable, one without any text no usable file. A header that names a canonical
+    column twice refuses the mapping; one without lines below leaves nothing to validate.
     """
     low = lambda x: F.when(~F.lower(x).isin(*MISSING), x)
     places: dict[str, Column] = {}
@@ -163,7 +173,8 @@ def file_report(raw: DataFrame, lines: DataFrame, heads: DataFrame, files: DataF
     dated = text["ts"].rlike("^[0-9]{1,4}[-/]") & mixed_timestamp(text["ts"]).isNotNull()
     n = lambda cond: F.sum(F.coalesce(cond, F.lit(False)).cast("int"))
     uncast = sum((text[dst].isNotNull() & number[dst].isNull()).cast("int") for dst in numbers)
-    sizes = raw.groupBy("file_id").agg(n((F.col("line_no") > 0) & F.col("line").isNotNull()).alias("n_lines"))
+    text_there = F.trim(F.coalesce("line", F.lit(""))) != ""
+    sizes = raw.groupBy("file_id").agg(n((F.col("line_no") > 0) & F.col("line").isNotNull()).alias("n_lines"), F.max(text_there).alias("usable"))
     body = lines.groupBy("file_id").agg(
         n(F.size("vals") < F.size("names")).alias("short"),
         n(F.size("vals") > F.size("names")).alias("long"),
@@ -171,12 +182,13 @@ def file_report(raw: DataFrame, lines: DataFrame, heads: DataFrame, files: DataF
         n(text["ts"].isNotNull() & ~dated).alias("undated"),
         n((F.abs(number["lat"]) > 90) | (F.abs(number["lon"]) > 180)).alias("off_globe"),
     )
-    core = F.lit(True)
+    core, mapped = F.lit(True), F.lit(True)
     for src, dst, _ in CANON:
         if dst in ("ts", "lat", "lon"):
             core = core & F.array_contains("names", F.lit(src))
+        mapped = mapped & (F.size(F.filter("names", lambda x: x == src)) < 2)
     listed = files.groupBy("file_id").agg(F.max("n_records").alias("n_records"))
-    d = sizes.join(listed, "file_id", "full").join(heads.select("file_id", core.alias("in_scope")), "file_id", "left").join(body, "file_id", "left")
+    d = sizes.join(listed, "file_id", "full").join(heads.select("file_id", core.alias("in_scope"), mapped.alias("mapped")), "file_id", "left").join(body, "file_id", "left")
     d = d.filter("file_id is not null").fillna(0, ["n_lines", "short", "long", "uncast", "undated", "off_globe"])
     d = d.withColumns(
         {
@@ -190,11 +202,16 @@ def file_report(raw: DataFrame, lines: DataFrame, heads: DataFrame, files: DataF
     found = F.concat_ws(", ", *[part(c, what) for c, what in named.items()])
     detail = (
         F.when(~F.col("intact"), F.concat_ws(" of ", F.col("n_lines").cast("string"), F.concat(F.col("n_records").cast("string"), F.lit(" lines"))))
+        .when(~F.coalesce("usable", F.lit(False)), "no text")
         .when(~F.col("readable"), "no header line")
         .when(~F.col("in_scope"), "neither time nor position among the columns")
+        .when(~F.col("mapped"), "a column comes twice")
         .when(F.col("errors") > 0, found)
     )
-    status = conformance_status(F.col("readable"), F.col("intact"), F.col("in_scope"), F.col("long") + F.col("uncast") + F.col("undated") == 0, F.col("errors"))
+    status = conformance_status(
+        F.col("readable"), F.col("intact"), F.col("in_scope"), F.col("long") + F.col("uncast") + F.col("undated") == 0, F.col("errors"),
+        usable=F.col("usable") | ~F.col("intact"), mapped=F.col("mapped"), rows=F.col("n_lines"),
+    )
     return d.select("file_id", status.alias("status"), "errors", "n_lines", detail.alias("detail"))
 
 

@@ -8,21 +8,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmeter.functions.geo import METRES_PER_DEGREE
-from trackmeter.functions.stats import mann_whitney
+from trackmeter.functions.stats import mann_whitney, upper_tail
 from trackmeter.operators.fixes import BLANKS
 from trackmeter.operators.quantile import quantile_of_counts, summary_quantiles, value_counts
 from trackmeter.operators.tracks import consecutive_pairs, triplets
 from trackmeter.session import Written
 
 
+#: parts a dataset from an entity in a composed identifier
+_PART = "\u0001"
+
+
 def decimals(text: Column) -> Column:
     """Digits behind the last point of a number's text; 0 without a point."""
     return F.when(F.contains(text, F.lit(".")), F.length(F.element_at(F.split(text, r"\."), -1))).otherwise(F.lit(0))
 
 
 def plain_number(c: Column) -> Column:
-    """A coordinate's shortest decimal text without exponent, at most 8 places."""
-    fixed = F.regexp_replace(c.cast("decimal(20,8)").cast("string"), "0+$", "")
+    """A coordinate's shortest decimal text without exponent, however many places."""
+    fixed = F.regexp_replace(c.cast("string").cast("decimal(38,20)").cast("string"), "0+$", "")
     return F.when(F.endswith(fixed, F.lit(".")), F.concat(fixed, F.lit("0"))).otherwise(fixed)
 
 
@@ -64,11 +68,16 @@ def cadence(tracks: DataFrame, keys: Sequence[str] = (), round_to: int | None =
     Mode: the most frequent whole-second gap (rounded to ``round_to`` digits if given), the smallest of
     several. Regular: within a tenth of the mode, or a second. Gaps are counted by value first.
     """
+    return cadence_of_pairs(consecutive_pairs(tracks), keys, round_to)
+
+
+def cadence_of_pairs(pairs: DataFrame, keys: Sequence[str] = (), round_to: int | None = None) -> DataFrame:
+    """As ``cadence``, from pairs that carry ``keys`` and ``dt_s``."""
     keys = list(keys)
     group = keys or ["_all"]
-    pairs = consecutive_pairs(tracks).filter("dt_s > 0")
+    pairs = pairs.filter("dt_s > 0")
     counts = value_counts(pairs if keys else pairs.withColumn("_all", F.lit(1)), group, "dt_s")
-    counts = Written(tracks.sparkSession).put(counts, "gaps")  # read once per statistic
+    counts = Written(pairs.sparkSession).put(counts, "gaps")  # read once per statistic
     shown = F.bround("v", round_to) if round_to is not None else F.col("v")
     by_value = counts.groupBy(*group, shown.alias("g")).agg(F.sum("c").alias("c"))
     mode = by_value.groupBy(*group).agg(F.max(F.struct("c", (-F.col("g")).alias("g"))).alias("m")).select(*group, (-F.col("m.g")).alias("gap_mode_s"))
@@ -123,6 +132,34 @@ def measure(tracks: DataFrame, factor: float = 10.0, least: int = 50) -> DataFra
     return size.join(reps, how="left").join(sp, how="left").join(pace, how="left").join(grain(tracks), how="left")  # one row each
 
 
+def measure_by(tracks: DataFrame, key: str, factor: float = 10.0, least: int = 50) -> DataFrame:
+    """The quality row of every dataset at once: ``key`` and the columns of ``measure``.
+
+    An entity of two datasets is two entities. Datasets without a judged entity have NULL measures.
+    """
+    t = tracks.withColumn("entity", F.concat_ws(_PART, F.col(key).cast("string"), "entity"))
+    own = F.split_part("entity", F.lit(_PART), F.lit(1)).alias(key)
+    span = (F.max("ts_us") - F.min("ts_us")) / 86_400e6
+    size = t.groupBy(key).agg(F.count(F.lit(1)).alias("n_fixes"), F.countDistinct("entity").alias("n_individuals"), span.alias("days"))
+    pairs = consecutive_pairs(sized(t, least)).select(own, "dt_s", "dist_m")
+    reps = repeated_positions(pairs, key).select(key, F.try_divide(100 * F.col("repeats"), "steps").alias("pct_repeated"))
+    sp = spikes(sized(t, least), factor).groupBy(own).agg(
+        F.sum("triplets").alias("n_triplets"), F.try_divide(100 * F.sum("spikes"), F.sum("triplets")).alias("pct_spikes")
+    )
+    pace = cadence_of_pairs(pairs, [key]).select(key, "gap_median_s", "gap_mode_s", "gap_p95_s", "regular_pct")
+    digits = t.groupBy(key, decimals(plain_number(F.col("lat"))).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c")).withColumn("bucket", F.lit(0))
+    middle = quantile_of_counts(digits, [key], 0.5, "decimals_lat").select(key, F.floor("decimals_lat").cast("int").alias("decimals_lat"))
+    inner = consecutive_pairs(t).select(own, F.abs(F.col("lat") - F.col("p1_lat")).alias("d"))
+    order = F.struct("ts_us", "event_id", "lat")
+    ends = t.groupBy(key, "entity").agg(F.min(order).alias("a"), F.max(order).alias("b"))
+    outer = ends.select(key, F.abs(F.col("a.lat") - F.lag("b.lat").over(Window.partitionBy(key).orderBy("entity"))).alias("d"))  # one row an entity
+    least_step = inner.unionByName(outer).filter("d > 0").groupBy(key).agg((F.min("d") * METRES_PER_DEGREE).alias("least_step_m"))
+    out = size
+    for part in (reps, sp, pace, middle, least_step):
+        out = out.join(part, key, "left")
+    return out.fillna(0, ["n_triplets"])
+
+
 def capabilities(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """``field, filled_pct, state``: what the columns carry; state is absent, empty or filled. One pass."""
     have = set(df.columns)
@@ -158,6 +195,12 @@ def file_sizes(files: DataFrame, bundle: str = "ORIGINAL", names: int = 6) -> Da
     return own.groupBy("uuid").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes_published"), F.concat_ws(" | ", listed).alias("fichiers"))
 
 
+def with_sizes(items: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Items with ``bytes_published, fichiers`` of ``file_sizes``; 0 and an empty text for items without files."""
+    d = items.join(sizes, "uuid", "left")
+    return d.withColumns({"bytes_published": F.coalesce("bytes_published", F.lit(0)), "fichiers": F.coalesce("fichiers", F.lit(""))})
+
+
 def inventory(deposits: DataFrame) -> DataFrame:
     """Deposits with ``year`` (from the date's first four characters, if a number), ``mb`` and a short title."""
     return deposits.select(
@@ -226,6 +269,22 @@ def rate_spread(quality: DataFrame, column: str) -> DataFrame:
     return q.join(quality.agg(F.max(column).alias("max")), how="left")  # one row each
 
 
+def detector_report(quality: DataFrame, label_sets: Sequence[Sequence[str]] = (("gps",), ("gps", "gnss")), sensor: str = "sensor", value: str = "pct_spikes", high: str = "argos-doppler-shift") -> DataFrame:
+    """``labels, n_high, n_low, median_high, median_low, u, z, p``: the validation under each set of labels.
+
+    Both arms are stated, so that a set with an empty arm shows as such (its p is NULL).
+    """
+    out = None
+    for low in label_sets:
+        arm = lambda of: F.when(of, F.col(value))
+        q = summary_quantiles(quality, {"median_high": (arm(F.col(sensor) == high), 0.5), "median_low": (arm(F.col(sensor).isin(*low)), 0.5)})
+        row = detector_validation(quality, sensor, value, high, low).join(q, how="left").select(  # one row each
+            F.lit("+".join(low)).alias("labels"), "n_high", "n_low", "median_high", "median_low", "u", "z", upper_tail(F.col("z")).alias("p")
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def detector_validation(quality: DataFrame, sensor: str = "sensor", value: str = "pct_spikes", high: str = "argos-doppler-shift", low: Sequence[str] = ("gps",)) -> DataFrame:
     """Mann-Whitney of the spike rates of one sensor against another's (labels in ``low`` count as one)."""
     label = F.when(F.col(sensor).isin(*low), "low").when(F.col(sensor) == high, "high")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,8 +16,9 @@ from trackmeter.operators.quantile import summary_quantiles
 from trackmeter.operators.tracks import islands
 
 Ring = Sequence[tuple[float, float]]
-#: rings with more edges are tested in Arrow batches instead of one unrolled expression
-MOST_UNROLLED = 200
+#: rings with more edges are worked through edge by edge in Arrow batches: an unrolled expression of them
+#: would be too long to compile; both ways give the same
+MOST_UNROLLED = 40
 
 
 def closed(ring: Ring) -> list[tuple[float, float]]:
@@ -60,7 +62,22 @@ def in_polygon(x: Column, y: Column, ring: Ring) -> Column:
 
 
 def ring_distance(x: Column, y: Column, ring: Ring) -> Column:
-    """Distance to the nearest edge, in the ring's units."""
+    """Distance to the nearest edge, in the ring's units; NULL where a coordinate is."""
+    edges = _edges(ring)
+    if len(edges) > MOST_UNROLLED:
+
+        @F.pandas_udf("double")
+        def nearest(xs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for px, py in xs:
+                best = pd.Series(float("inf"), index=px.index)
+                for x1, y1, x2, y2 in edges:
+                    dx, dy = x2 - x1, y2 - y1
+                    n = dx * dx + dy * dy
+                    t = (((px - x1) * dx + (py - y1) * dy) / n).clip(0.0, 1.0) if n else 0.0
+                    best = best.where(best <= (d := np.hypot(px - (x1 + t * dx), py - (y1 + t * dy))), d)
+                yield best.astype(object).where(px.notna() & py.notna(), None)
+
+        return nearest(x, y)
 
     def to(e: tuple[float, float, float, float]) -> Column:
         x1, y1, x2, y2 = e
@@ -69,13 +86,13 @@ def ring_distance(x: Column, y: Column, ring: Ring) -> Column:
         t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((x - x1) * dx + (y - y1) * dy) / n)) if n else F.lit(0.0)
         return F.hypot(x - (x1 + t * dx), y - (y1 + t * dy))
 
-    parts = [to(e) for e in _edges(ring)]
+    parts = [to(e) for e in edges]
     least = F.least(*parts) if len(parts) > 1 else parts[0]
     return F.when(x.isNotNull() & y.isNotNull(), least)
 
 
 def inside_share(points: DataFrame) -> DataFrame:
-    """``n_fixes, n_inside, inside_pct`` of rows with a boolean ``inside``."""
+    """``n_fixes, n_inside, inside_pct`` of rows with a boolean ``inside``; the share is of those where it is not NULL."""
     k = F.sum(F.col("inside").cast("int"))
     return points.agg(F.count(F.lit(1)).alias("n_fixes"), k.alias("n_inside"), (100 * F.avg(F.col("inside").cast("int"))).alias("inside_pct"))
 
@@ -113,7 +130,7 @@ def excursions(points: DataFrame, deep_m: float = 500.0) -> DataFrame:
     """``entity, run, first_event_id, last_event_id, start_us, end_us, n_fixes, n_flagged, max_d_m, deep``.
 
     An excursion is a longest run of consecutive fixes outside. ``points`` has ``inside``, ``flagged``
-    and ``d_m`` (distance to the fence).
+    and ``d_m`` (distance to the fence). A fix of which it is not known (NULL) ends a run.
     """
     cols = ["inside", "flagged", "d_m"]
     d = with_neighbours(in_blocks(points, cols), cols, before=1)
@@ -137,8 +154,8 @@ def excursions(points: DataFrame, deep_m: float = 500.0) -> DataFrame:
 
 
 def outside_rates(points: DataFrame) -> DataFrame:
-    """``flagged, n, outside, rate, low, high`` with Wilson bounds: the control against the flagged fixes."""
-    d = points.groupBy("flagged").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("inside")).cast("int")).alias("outside"))
+    """``flagged, n, outside, rate, low, high`` with Wilson bounds: the control against the flagged fixes, where known."""
+    d = points.filter("inside is not null").groupBy("flagged").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("inside")).cast("int")).alias("outside"))
     low, high = wilson(F.col("outside"), F.col("n"))
     return d.select("flagged", "n", "outside", (F.col("outside") / F.col("n")).alias("rate"), low.alias("low"), high.alias("high"))
 

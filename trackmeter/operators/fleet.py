@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackmeter.functions.geo import haversine_m
 from trackmeter.operators.fixes import entity_key, in_blocks, with_neighbours
-from trackmeter.operators.quantile import grouped_quantile
+from trackmeter.operators.quantile import grouped_quantile, summary_quantiles
 from trackmeter.operators.tracks import gap_bursts, seconds
 
 
@@ -172,3 +172,26 @@ def speed_gate(pairs: DataFrame, ceiling_mps: float = 7.0) -> DataFrame:
     """Consecutive pairs over the ceiling by class of gap: ``gap_class, pairs, flagged``."""
     d = pairs.filter("dt_s > 0").withColumns({"gap_class": gap_class(F.col("dt_s")), "flagged": F.col("v_mps") > ceiling_mps})
     return d.groupBy("gap_class").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("flagged").cast("int")).alias("flagged"))
+
+
+def speed_gate_summary(pairs: DataFrame, ceiling_mps: float = 7.0, short_s: int = 15) -> DataFrame:
+    """``n_pairs, n_flagged, pct, median_jump_m``: the share over the ceiling, and the median jump of those within ``short_s``."""
+    d = pairs.filter("dt_s > 0").withColumn("flagged", F.col("v_mps") > ceiling_mps)
+    n, k = F.count(F.lit(1)), F.coalesce(F.sum(F.col("flagged").cast("int")), F.lit(0))
+    q = summary_quantiles(d, {"median_jump_m": (F.when(F.col("flagged") & (F.col("dt_s") <= short_s), F.col("dist_m")), 0.5)})
+    return d.agg(n.alias("n_pairs"), k.alias("n_flagged"), F.try_divide(100.0 * k, n).alias("pct")).join(q, how="left")  # one row each
+
+
+def contaminated_jumps(pairs: DataFrame, period_s: float = 1200) -> DataFrame:
+    """What a first-of-burst subsample carries of its flagged first pairs: jumps, and the speeds they imply over the wake period."""
+    jump = F.when(F.col("flagged") & (F.col("start_rank") == 0), F.col("dist_m"))
+    q = summary_quantiles(pairs, {"median_jump_m": (jump, 0.5), "p90_jump_m": (jump, 0.9)})
+    out = pairs.agg(F.count(jump).alias("n"), F.max(jump).alias("max_jump_m")).join(q, how="left")  # one row each
+    return out.withColumns({"median_mps": F.col("median_jump_m") / period_s, "p90_mps": F.col("p90_jump_m") / period_s})
+
+
+def four_fix_summary(bursts: DataFrame) -> DataFrame:
+    """``n_bursts, fix1_m, fix2_m`` (medians) and ``fix1_is_outlier_pct``: how often fix 1 lies farther off than fix 2."""
+    q = summary_quantiles(bursts, {"fix1_median_m": (F.col("fix1_m"), 0.5), "fix2_median_m": (F.col("fix2_m"), 0.5)})
+    own = bursts.agg(F.count(F.lit(1)).alias("n_bursts"), (100.0 * F.avg((F.col("fix1_m") > F.col("fix2_m")).cast("int"))).alias("fix1_is_outlier_pct"))
+    return own.join(q, how="left")  # one row each

@@ -89,15 +89,17 @@ def device_pairs(tracks: DataFrame, lat0: float, lon0: float, near_m: float = 10
 
     The second difference of their relative position leaves the noise of two receivers: its variance is
     six times theirs. ``contiguous`` keeps differences over consecutive seconds only. One equi-join on
-    the second, not one per pair of devices. For reports, the first ``most`` pairs by name.
+    the second and on a cell of ``near_m``, whose neighbours the one side is sent to as well, so devices
+    far apart never meet. For reports, the first ``most`` pairs by name.
     """
     x, y = local_xy("lat", "lon", lat0, lon0)
     s = first_per_second(tracks).select("entity", "tsec", x.alias("x"), y.alias("y"))
-    side = lambda p: s.select("tsec", *[F.col(c).alias(f"{c}_{p}") for c in ("entity", "x", "y")])
-    m = side("a").join(side("b"), "tsec").filter("entity_a < entity_b")
+    cell = lambda c: F.floor(F.col(c) / near_m)
+    side = lambda p: s.select("tsec", cell("x").alias("cx"), cell("y").alias("cy"), *[F.col(c).alias(f"{c}_{p}") for c in ("entity", "x", "y")])
+    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    m = side("a").withColumn("cx", around("cx")).withColumn("cy", around("cy")).join(side("b"), ["tsec", "cx", "cy"]).filter("entity_a < entity_b")
     m = m.select(F.col("entity_a").alias("a"), F.col("entity_b").alias("b"), "tsec", (F.col("x_a") - F.col("x_b")).alias("rx"), (F.col("y_a") - F.col("y_b")).alias("ry"))
-    many = m.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_all")).filter(F.col("n_all") >= least).select("a", "b")
-    d = m.join(many, ["a", "b"], "left_semi").withColumn("d", F.hypot("rx", "ry")).filter(F.col("d") < near_m)
+    d = m.withColumn("d", F.hypot("rx", "ry")).filter(F.col("d") < near_m)
     # a pair of devices is an entity of its own, in blocks of time like any other
     d = d.withColumns({"entity": F.concat_ws("\u0001", "a", "b"), "event_id": F.col("tsec"), "ts_us": F.col("tsec") * 1_000_000})
     d = with_neighbours(in_blocks(d, ["rx", "ry", "d"]), ["rx", "ry"], before=2)

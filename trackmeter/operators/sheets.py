@@ -49,6 +49,14 @@ def with_licence(quality: DataFrame, licences: DataFrame) -> DataFrame:
     return quality.join(one, "uuid", "left").withColumn("licence", F.coalesce("licence", F.lit("not declared")))
 
 
+#: how the measures were taken, at the foot of each sheet
+METHOD = (
+    "\nMethod:\n\n"
+    "For three consecutive fixes A, B, C the excursion is (AB + BC - AC) / 2. It counts as a spike beyond ten times the 0.95 quantile of the device's own steps, "
+    "so no species and no scale is assumed. A repeat is a step of exactly zero. The grain is the median number of decimals of the latitude."
+)
+
+
 def sheet_text(quality: DataFrame, title: str = "title") -> DataFrame:
     """Adds ``sheet``: Markdown of one dataset's measures, readings and limits."""
     d = readings(quality)
@@ -60,16 +68,19 @@ def sheet_text(quality: DataFrame, title: str = "title") -> DataFrame:
         F.lit(""),
         F.concat(F.lit("Source licence: "), licence, F.when(F.contains(licence, F.lit("NonCommercial")), F.lit(" (this sheet inherits the non-commercial terms)")).otherwise("")),
         F.lit("\n| Measure | Value |\n|---|---|"),
+        row("Dominant sensor", F.coalesce("sensor", F.lit("not declared")) if "sensor" in d.columns else F.lit("not declared")),
         row("Fixes", F.format_number("n_fixes", 0)),
         row("Individuals", F.format_number("n_individuals", 0)),
         row("Span", F.concat(num("%.0f", "days"), F.lit(" days"))),
         row("Median cadence", duration_text(F.col("gap_median_s"))),
         row("Dominant cadence", duration_text(F.col("gap_mode_s"))),
+        row("Regularity", F.concat(num("%.0f", "regular_pct"), F.lit(" % of gaps at the dominant cadence"))),
         row("95th percentile of gaps", duration_text(F.col("gap_p95_s"))),
         row("Position spikes", F.concat(num("%.3f", "pct_spikes"), F.lit(" %, "), F.col("read_spikes"))),
         row("Repeated positions", F.concat(num("%.2f", "pct_repeated"), F.lit(" %, "), F.col("read_repeats"))),
         row("Coordinate grain", F.concat(F.col("decimals_lat").cast("string"), F.lit(" decimals, "), F.col("read_grain"))),
         F.lit("\nNot supported:\n"),
         F.concat(F.lit("- "), F.array_join("limits", "\n- ")),
+        F.lit(METHOD),
     ]
     return d.withColumn("sheet", F.concat_ws("\n", *lines))

@@ -237,10 +237,17 @@ class Grid:
         """``df`` with the ``node`` of each point."""
         return self._in_row(df, self.y(F.col("lat"))).withColumn("node", self._key(F.col("lon"))).drop("_y", "_n")
 
+    def discs(self, df: DataFrame) -> DataFrame:
+        """``df`` with a row for each ``node`` that the disc around a point touches."""
+        return self._touched(df, -1)
+
     def regions(self, df: DataFrame) -> DataFrame:
-        """``df`` with a row for each ``node`` that a point's region touches."""
+        """``df`` with a row for each ``node`` that a point's region, the northern half of its disc, touches."""
+        return self._touched(df, 0)
+
+    def _touched(self, df: DataFrame, south: int) -> DataFrame:
         lat, lon = F.col("lat"), F.col("lon")
-        rows = self._in_row(df, F.explode(F.array_distinct(F.array(self.y(lat), self.y(lat + self.tall)))))
+        rows = self._in_row(df, F.explode(F.array_distinct(F.array(self.y(lat + south * self.tall), self.y(lat + self.tall)))))
         rows = rows.withColumn("_w", self.wide(lat))
         at = [self._key(lon + d * F.col("_w")) for d in (-1, 1)]  # cells are wider than a region
         return rows.withColumn("node", F.explode(F.array_distinct(F.array(*at)))).drop("_y", "_n", "_w")

@@ -9,6 +9,7 @@ from trackmeter.functions.geo import EARTH_RADIUS_M, heading_deg, wrap_180
 from trackmeter.operators.corpus import sized
 from trackmeter.operators.fixes import in_blocks, with_neighbours
 from trackmeter.operators.quantile import summary_quantiles
+from trackmeter.operators.spatial import Grid
 from trackmeter.operators.tracks import islands, seconds
 from trackmeter.session import Written
 
@@ -91,39 +92,56 @@ def spirals(
 
 
 def pairs_within(
-    items: DataFrame, time: str = "start_s", span: float = 300, device: str = "entity", condition: Column | None = None
+    items: DataFrame, time: str = "start_s", span: float = 300, device: str = "entity", condition: Column | None = None, metres: float | None = None
 ) -> DataFrame:
     """Rows of different devices at most ``span`` apart in time, earlier first (``a_*``, ``b_*``).
 
     Interval join by buckets as long as the span: the earlier row is sent to its own bucket and the
     next, the later to its own only, so every pair meets exactly once in an equi-join. Equal times go by
-    device.
+    device. With ``metres``, rows (``lat, lon``) meet only within cells of about that size: the earlier
+    is sent to the cells its disc touches. Use it where far pairs are not wanted, as they grow with the square.
     """
     k = F.floor(F.col(time) / span)
     side = lambda p: items.select(*[F.col(c).alias(f"{p}_{c}") for c in items.columns], k.alias("_k"))
     a = side("a").withColumn("_k", F.explode(F.array(F.col("_k"), F.col("_k") + 1)))
+    b, keys = side("b"), ["_k"]
+    if metres is not None:
+        grid, keys = Grid(metres, 2.0), ["_k", "node"]
+        at = lambda d, p: d.withColumns({"lat": F.col(f"{p}_lat"), "lon": F.col(f"{p}_lon")})
+        a, b = grid.discs(at(a, "a")).drop("lat", "lon"), grid.points(at(b, "b")).drop("lat", "lon")
     ta, tb = F.col(f"a_{time}"), F.col(f"b_{time}")
     da, db = F.col(f"a_{device}"), F.col(f"b_{device}")
     later = (tb > ta) | ((tb == ta) & (db > da))
     cond = (da != db) & later & (tb - ta <= span)
     if condition is not None:
         cond = cond & condition
-    return a.join(side("b"), "_k").filter(cond).drop("_k")
+    return a.join(b, keys).filter(cond).drop(*keys)
 
 
-def spiral_pairs(sp: DataFrame, span_s: float = 300, altitude_m: float = 300) -> DataFrame:
-    """Pairs of spirals of different devices near in time and altitude, with distance and disagreement of wind."""
+def spiral_pairs(sp: DataFrame, span_s: float = 300, altitude_m: float = 300, km: float | None = None) -> DataFrame:
+    """Pairs of spirals of different devices near in time and altitude, with distance and disagreement of wind.
+
+    With ``km``, only pairs within that distance are formed (the structure function needs all).
+    """
     cols = ["entity", "island", "start_s", "lat", "lon", "altitude_m", "wind_east", "wind_north", "wind"]
     low = F.abs(F.col("a_altitude_m") - F.col("b_altitude_m")) < altitude_m
-    p = pairs_within(sp.select(*cols), span=span_s, condition=low)
+    # the plane distance below departs from the great circle by far less than the margin
+    p = pairs_within(sp.select(*cols), span=span_s, condition=low, metres=None if km is None else km * 1020.0)
     dx = F.radians(F.col("b_lon") - F.col("a_lon")) * EARTH_RADIUS_M * F.cos(F.radians("a_lat"))
     dy = F.radians(F.col("b_lat") - F.col("a_lat")) * EARTH_RADIUS_M
-    return p.withColumns(
+    p = p.withColumns(
         {
             "distance_km": F.hypot(dx, dy) / 1000,
             "wind_gap": F.hypot(F.col("a_wind_east") - F.col("b_wind_east"), F.col("a_wind_north") - F.col("b_wind_north")),
         }
     )
+    return p if km is None else p.filter(F.col("distance_km") < km)
+
+
+def agreement(pairs: DataFrame) -> DataFrame:
+    """``n_pairs, median_gap, p75_gap, max_gap``: how far the winds of two devices disagree."""
+    q = summary_quantiles(pairs, {"median_gap": (F.col("wind_gap"), 0.5), "p75_gap": (F.col("wind_gap"), 0.75)})
+    return pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.max("wind_gap").alias("max_gap")).join(q, how="left")  # one row each
 
 
 def same_thermal(pairs: DataFrame, km: float = 2.0) -> DataFrame:
@@ -150,6 +168,8 @@ def wind_summary(sp: DataFrame) -> DataFrame:
             "airspeed_p75": (c("airspeed"), 0.75),
             "wind_p50": (c("wind"), 0.5),
             "wind_p90": (c("wind"), 0.9),
+            "median_altitude_m": (c("altitude_m"), 0.5),
+            "median_climb_mps": (c("climb_mps"), 0.5),
         },
     )
     return sp.agg(F.count(F.lit(1)).alias("n_spirals"), F.countDistinct("entity").alias("n_devices")).join(q, how="left")  # one row each

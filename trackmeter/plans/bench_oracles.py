@@ -68,9 +68,8 @@ def _cadence(key: str, shown: str) -> str:
 
 
 def _dec(c: str) -> str:
-    """Digits behind the point of the shortest text at 8 places; a whole number has one zero."""
-    s = f"regexp_replace(printf('%.8f', {c}), '0+$', '')"
-    return f"greatest(length(split_part({s}, '.', 2)), 1)"
+    """Digits behind the point of the shortest text; a whole number has one zero."""
+    return f"greatest(length(split_part(({c})::varchar, '.', 2)), 1)"
 
 
 def utm_sql(la: str, lo: str) -> tuple[str, str]:
@@ -102,8 +101,8 @@ def _park() -> str:
 
     near = "least(" + ", ".join(seg(p, q) for p, q in edges) + ")"
     return f"""
-      xy as (select *, {e} x, {n} n from tr where abs(la) < 80 and abs(lo) < 80),
-      pk as (select *, ({hits}) % 2 = 1 inside, {near} near from xy)"""
+      xy as (select *, case when abs(la) <= 84 and abs(lo - {MERIDIAN}) <= 80 then {e} end x, case when abs(la) <= 84 and abs(lo - {MERIDIAN}) <= 80 then {n} end n from tr),
+      pk as (select *, case when x is not null then ({hits}) % 2 = 1 end inside, case when x is not null then {near} end near from xy)"""
 
 
 PARKED = f"{DATED}, {_park()}"
@@ -111,7 +110,7 @@ _FIRST = "select distinct start_id e from ip where sr = 0 and flagged"
 FENCED = f"""{PAIRS}, {_park()}, ff as ({_FIRST}),
 fe as (select pk.*, ff.e is not null flagged, case when not inside then near end dm from pk left join ff using (e) where vis),
 fr as (select *, lag(inside) over (partition by a order by t, e) pin from fe),
-fi as (select *, sum(case when pin is null or pin <> inside then 1 else 0 end) over (partition by a order by t, e rows unbounded preceding) run from fr),
+fi as (select *, sum(case when pin = inside then 0 else 1 end) over (partition by a order by t, e rows unbounded preceding) run from fr),
 ex as (select a entity, run, first(e order by t, e) first_event_id, last(e order by t, e) last_event_id, min(t) start_us, max(t) end_us, count(*) n_fixes,
   sum(flagged::int) n_flagged, max(dm) max_d_m, max(dm) > 500 deep from fi where not inside group by 1, 2)
 """
@@ -136,7 +135,7 @@ _DAYS = f"""{DATED}, bd as (select a entity, (t // 86400000000)::int "day", null
 
 DENSE = f"""{DATED}, dn as (select a, e, t ts, la / 10 la, lo / 10 lo, alt, row_number() over (partition by a order by t, e) - 1 t,
   count(*) over (partition by a) c from tr),
-vl as (select *, lag(t) over w p1t, lag(la) over w p1la, lag(lo) over w p1lo, lag(la, 2) over w p2la, lag(lo, 2) over w p2lo
+vl as (select *, lag(t) over w p1t, coalesce(lag(alt) over w, -1e9) p1al, lag(la) over w p1la, lag(lo) over w p1lo, lag(la, 2) over w p2la, lag(lo, 2) over w p2lo
   from dn where c >= 100 window w as (partition by a order by ts, e)),
 ve as (select *, radians(lo - p1lo) * 6371008.8 * cos(radians(p1la)) vx, radians(la - p1la) * 6371008.8 vy,
   radians(p1lo - p2lo) * 6371008.8 * cos(radians(p2la)) ux, radians(p1la - p2la) * 6371008.8 uy from vl),
@@ -148,11 +147,12 @@ SPIRALS = f"""{DENSE}
 tg as (select *, coalesce(abs(rate) > 3, false) turning, {_SIGN} way, lag({_SIGN}) over (partition by a order by ts, e) pway from rt),
 is_ as (select *, sum(case when turning and way = pway then 0 else 1 end) over (partition by a order by ts, e rows unbounded preceding) island from tg),
 gg as (select a entity, island, count(*) n_rates, sum(rate) turned, avg(ux) wind_east, avg(uy) wind_north, min(p1t) start_s, max(p1t) end_s,
-  avg(p1la) lat, avg(p1lo) lon from is_ where turning group by 1, 2 having count(*) >= 3 and abs(sum(rate)) >= 330 and max(p1t) > min(p1t)),
+  avg(p1la) lat, avg(p1lo) lon, arg_min(p1al, row(ts, e)) al0, arg_max(p1al, row(ts, e)) al1 from is_ where turning group by 1, 2 having count(*) >= 3 and abs(sum(rate)) >= 330 and max(p1t) > min(p1t)),
 ar as (select g.entity, g.island, avg(sqrt(pow(ux - wind_east, 2) + pow(uy - wind_north, 2))) airspeed
   from is_ i join gg g on i.a = g.entity and i.island = g.island where turning group by 1, 2),
 al as (select entity, island, avg(p1alt) altitude_m from (select i.a entity, i.island, i.turning, lag(alt) over (partition by a order by ts, e) p1alt from is_ i) where turning group by 1, 2),
-sp as (select g.*, sqrt(pow(wind_east, 2) + pow(wind_north, 2)) wind, airspeed, altitude_m, end_s - start_s duration_s
+sp as (select g.*, sqrt(pow(wind_east, 2) + pow(wind_north, 2)) wind, airspeed, altitude_m, end_s - start_s duration_s,
+  case when al0 > -1e8 and al1 > -1e8 then (al1 - al0) / (end_s - start_s) end climb_mps, (degrees(atan2(wind_east, wind_north)) + 360) % 360 wind_from_deg
   from gg g join ar using (entity, island) join al using (entity, island) where sqrt(pow(wind_east, 2) + pow(wind_north, 2)) < 40 and airspeed between 2 and 30)
 """
 SPAIRS = f"""{SPIRALS},
@@ -286,7 +286,7 @@ ORACLES = {
       tt as (select iv interval_s, sum(coalesce(k, 0)) crossings, count(*) devices from cr group by 1)
       select interval_s, crossings, devices, round(100.0 * crossings / nullif((select crossings from tt where interval_s = 0), 0), 6) pct_of_native from tt""",
     "fence_excursions": f"with {FENCED} select entity, run, first_event_id, last_event_id, start_us, end_us, n_fixes, n_flagged, round(max_d_m, 1) max_d_m, deep from ex",
-    "fence_rates": f"""with {FENCED}, k as (select flagged, count(*) n, sum((not inside)::int) k from fe group by 1)
+    "fence_rates": f"""with {FENCED}, k as (select flagged, count(*) n, sum((not inside)::int) k from fe where inside is not null group by 1)
       select flagged, n, k outside, round(k / n, 8) rate, round({_LO}, 8) low, round({_HI}, 8) high from k""",
     "fence_summary": f"""with {FENCED}, b as (select entity, sum(n_fixes) k from ex group by 1)
       select count(*) n_excursions, sum((n_fixes = 1)::int) n_single, sum((n_fixes = 1 and n_flagged = 1)::int) n_single_flagged, sum(deep::int) n_deep,
@@ -319,9 +319,10 @@ ORACLES = {
       k as (select *, s - row_number() over (partition by a order by s) g from bz), n as (select a, g, count(*) n from k group by 1, 2) select a entity, count(*) stretches, max(n) longest from n group by 1""",
     "turn_rates": f"with {DENSE} z as (select 1) select a entity, count(*) rates, sum((abs(rate) > 3)::int) turning from rt where rate is not null group by 1",
     "wind_spirals": f"""with {SPIRALS} select entity, island, n_rates, round(wind_east, 4) wind_east, round(wind_north, 4) wind_north, start_s, end_s, round(lat, 6) lat, round(lon, 6) lon,
-      round(airspeed, 4) airspeed, round(wind, 4) wind, duration_s from sp""",
+      round(airspeed, 4) airspeed, round(wind, 4) wind, duration_s, round(altitude_m, 3) altitude_m, round(climb_mps, 4) climb_mps, round(wind_from_deg, 3) wind_from_deg from sp""",
     "wind_summary": f"""with {SPIRALS} select count(*) n_spirals, count(distinct entity) n_devices, quantile_cont(duration_s, 0.5) median_duration_s, round(quantile_cont(airspeed, 0.25), 3) airspeed_p25,
-      round(quantile_cont(airspeed, 0.5), 3) airspeed_p50, round(quantile_cont(airspeed, 0.75), 3) airspeed_p75, round(quantile_cont(wind, 0.5), 3) wind_p50, round(quantile_cont(wind, 0.9), 3) wind_p90 from sp""",
+      round(quantile_cont(airspeed, 0.5), 3) airspeed_p50, round(quantile_cont(airspeed, 0.75), 3) airspeed_p75, round(quantile_cont(wind, 0.5), 3) wind_p50, round(quantile_cont(wind, 0.9), 3) wind_p90,
+      round(quantile_cont(altitude_m, 0.5), 3) median_altitude_m, round(quantile_cont(climb_mps, 0.5), 3) median_climb_mps from sp""",
     "wind_pairs": f"with {SPAIRS} select a_entity, a_island, b_entity, b_island, round(km, 3) distance_km, round(gap, 3) wind_gap from wp where km < 20",
     "wind_structure": f"""with {SPAIRS} select case when km < 2 then 0 when km < 10 then 2 when km < 50 then 10 when km < 200 then 50 else 200 end d_min_km, count(*) n_pairs,
       round(quantile_cont(gap, 0.5), 3) median_gap, round(quantile_cont(gap, 0.75), 3) p75_gap from wp group by 1""",
@@ -372,4 +373,5 @@ _ISO = "strftime(make_timestamp({0}), '%Y-%m-%dT%H:%M:%S')"
 ORACLES["export_points"] = f"with {_PTS} select a entity, e event_id, {_ISO.format('t')} ts, lo lon, la lat, flagged, island seg from sg"
 for _n, _k in (("export_tracks", "island::varchar"), ("export_day_paths", "strftime(make_timestamp(t), '%Y-%m-%d')")):
     ORACLES[_n] = f"""with {_PTS} select a entity, {_k} seg, {_ISO.format("min(t)")} "start", {_ISO.format("max(t)")} "end", count(*) n_fix,
-      round((max(t) - min(t)) / 3.6e9, 4) dur_h, round(100.0 * avg(flagged::int), 4) pct_flag from sg group by 1, 2 having count(*) >= 2"""
+      round((max(t) - min(t)) / 3.6e9, 4) dur_h, round(100.0 * avg(flagged::int), 4) pct_flag, 0 part,
+      md5('LINESTRING (' || string_agg(lo::varchar || ' ' || la::varchar, ', ' order by t, e) || ')') wkt_md5 from sg group by 1, 2 having count(*) >= 2"""

@@ -183,7 +183,8 @@ def gap_segments(spark, d):
 
 
 def _in_park(spark, d, *columns):
-    t = _tracks(spark, d, *columns).filter("abs(lat) < 80 and abs(lon) < 80")
+    """Every fix, with NULL where the projection does not hold."""
+    t = _tracks(spark, d, *columns)
     e, n = utm("lat", "lon", MERIDIAN, south=False)
     t = t.withColumns({"e": e, "n": n})
     return t.withColumn("inside", fence.in_polygon(F.col("e"), F.col("n"), PARK))
@@ -333,14 +334,17 @@ def turn_rates(spark, d):
     return t.groupBy("entity").agg(F.count(F.lit(1)).alias("rates"), F.sum((F.abs("rate") > 3).cast("int")).alias("turning"))
 
 
+def _shown_spirals(s):
+    return rounded(s, wind_east=4, wind_north=4, wind=4, airspeed=4, lat=6, lon=6, altitude_m=3, climb_mps=4, wind_from_deg=3)
+
+
 def wind_spirals(spark, d):
-    s = _spirals(spark, d).drop("altitude_m", "climb_mps", "wind_from_deg")
-    return rounded(s, wind_east=4, wind_north=4, wind=4, airspeed=4, lat=6, lon=6)
+    return _shown_spirals(_spirals(spark, d))
 
 
 def wind_summary(spark, d):
     s = wind.wind_summary(_spirals(spark, d))
-    return rounded(s, airspeed_p25=3, airspeed_p50=3, airspeed_p75=3, wind_p50=3, wind_p90=3)
+    return rounded(s, airspeed_p25=3, airspeed_p50=3, airspeed_p75=3, wind_p50=3, wind_p90=3, median_altitude_m=3, median_climb_mps=3)
 
 
 def _spiral_pairs(spark, d):
@@ -449,7 +453,7 @@ def sheet_readings(spark, d):
 def sheet_grains(spark, d):
     """The grain of each device as its sheet reads it: median decimals, least step of latitude."""
     q = sheets.readings(_device_quality(spark, d, grain=True))
-    return q.select("entity", "decimals_lat", r("least_step_m", 3).alias("least_step_m"), "read_grain", F.size("limits").alias("n_limits"))
+    return q.select("entity", "decimals_lat", r("least_step_m", 3).alias("least_step_m"), "read_grain", F.size("limits").alias("n_limits"), F.array_join("limits", "; ").alias("limit_texts"))
 
 
 def most_affected(spark, d):
@@ -467,7 +471,9 @@ def quality_sheets(spark, d):
     n = _tracks(spark, d).groupBy("entity").agg(
         F.count(F.lit(1)).alias("n_fixes"), F.lit(1).alias("n_individuals"), ((F.max("ts_us") - F.min("ts_us")) / 86_400e6).alias("days")
     )
-    return sheets.sheet_text(_device_quality(spark, d, grain=True).join(n, "entity"), "entity").select("entity", "sheet")
+    s = _tracks(spark, d, "sensor").groupBy("entity", F.lower("sensor").alias("sensor")).agg(F.count(F.lit(1)).alias("k"))
+    s = s.groupBy("entity").agg(F.max(F.when(F.col("sensor").isNotNull(), F.struct("k", "sensor")))["sensor"].alias("sensor"))
+    return sheets.sheet_text(_device_quality(spark, d, grain=True).join(n, "entity").join(s, "entity", "left"), "entity").select("entity", "sheet")
 
 
 def device_rules(spark, d):
@@ -509,19 +515,24 @@ def _flagged_points(spark, d):
 
 
 def export_points(spark, d):
-    return _flagged_points(spark, d).drop("ts_us")
+    return _flagged_points(spark, d).drop("ts_us", "rank")
+
+
+def _shown_lines(layer):
+    """The geometry by its digest: every vertex counts."""
+    return rounded(layer.withColumn("wkt_md5", F.md5("wkt")).drop("wkt"), dur_h=4, pct_flag=4)
 
 
 def export_tracks(spark, d):
-    return rounded(export.tracks_layer(_flagged_points(spark, d)).drop("wkt"), dur_h=4, pct_flag=4)
+    return _shown_lines(export.tracks_layer(_flagged_points(spark, d)))
 
 
 def export_day_paths(spark, d):
-    return rounded(export.day_paths(_flagged_points(spark, d)).drop("wkt"), dur_h=4, pct_flag=4)
+    return _shown_lines(export.day_paths(_flagged_points(spark, d)))
 
 
 def export_geojson(spark, d):
-    return export.geojson(export.tracks_layer(_flagged_points(spark, d))).select("entity", "seg", "feature")
+    return export.geojson(rounded(export.tracks_layer(_flagged_points(spark, d)), dur_h=4, pct_flag=4)).select("entity", "seg", "part", "feature")
 
 
 def triplet_excursions(spark, d):
