@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from tests.conftest import FIX, at
 from trackmeter import sinks
+from trackmeter.functions.geo import utm
 from trackmeter.functions.stats import mann_whitney, spearman, upper_tail, wilson
 from trackmeter.operators import accel, bursts, conformance, corpus, declare, drift, export, fence, fleet, noise, sheets, wind
 from trackmeter.operators.tracks import track_table, unmarked
 from trackmeter.plans import bench_queries
 from trackmeter.sources import exports, shapes
-from trackmeter.streaming.bursts import gap_sessions
+from trackmeter.streaming.bursts import gap_sessions, windowed_counts
 
 M = 1 / 111195.08  # a metre of latitude in degrees
 
@@ -146,6 +147,108 @@ def test_fence_runs_crossings_and_bins(spark):
     assert [r.i for r in q.collect()] == [True, False, None]
 
 
+def test_unrolled_and_long_rings_agree(spark, monkeypatch):
+    ring = [((3 if k % 2 else 5) * math.cos(k * math.pi / 15), (3 if k % 2 else 5) * math.sin(k * math.pi / 15)) for k in range(30)]
+    rng = np.random.default_rng(4)
+    pts = spark.createDataFrame([(float(x), float(y)) for x, y in rng.uniform(-6, 6, (200, 2))] + [(None, 1.0), (3.0, 0.0)], "x double, y double").coalesce(1)
+    look = lambda: [(r.i, r.d) for r in pts.select(fence.in_polygon(F.col("x"), F.col("y"), ring).alias("i"), fence.ring_distance(F.col("x"), F.col("y"), ring).alias("d")).collect()]
+    short = look()
+    monkeypatch.setattr(fence, "MOST_UNROLLED", 5)
+    long = look()
+    assert [a for a, _ in short] == [a for a, _ in long] and 50 < sum(bool(a) for a, _ in short) < 150
+    assert [b for _, b in short] == pytest.approx([b for _, b in long]) and short[200] == (None, None)
+
+
+def test_fixes_beyond_the_projection_stay(spark):
+    rows = [(1, "d", 0, 1.0, 3.0, False), (2, "d", 60, 1.0, 120.0, False), (3, "d", 120, 89.0, 3.0, True), (4, "d", 180, 1.0, 3.1, False)]
+    e, n = utm("lat", "lon", 3.0, south=False)
+    t = tracks(spark, rows, ", flagged boolean").withColumns({"e": e, "n": n})
+    p = t.withColumn("inside", fence.in_polygon(F.col("e"), F.col("n"), [(0, 0), (505_000, 0), (505_000, 1e6), (0, 1e6)]))
+    assert {r.event_id: r.inside for r in p.collect()} == {1: True, 2: None, 3: None, 4: False}
+    s = fence.inside_share(p).first()
+    assert (s.n_fixes, s.n_inside, s.inside_pct) == (4, 1, 50.0)
+    x = fence.excursions(p.withColumn("d_m", F.lit(1.0))).collect()
+    assert [(r.first_event_id, r.n_fixes) for r in x] == [(4, 1)]
+    assert [(r.flagged, r.n, r.outside) for r in fence.outside_rates(p).collect()] == [(False, 2, 1)]
+
+
+def test_lines_come_in_parts(spark):
+    rows = [(i, "d", 60 * i, 1.0, i / 8, False) for i in range(11)] + [(50, "solo", 0, 1.0, 1.0, False)]
+    pts = export.points(tracks(spark, rows, ", flagged boolean"))
+    whole = export.tracks_layer(pts).collect()
+    assert [(r.part, r.n_fix) for r in whole] == [(0, 11)]
+    for layer in (export.tracks_layer(pts, 4), export.day_paths(pts, 4)):
+        parts = sorted((r.part, r.n_fix, r.wkt) for r in layer.collect())
+        assert [p[:2] for p in parts] == [(0, 5), (1, 5), (2, 3)]  # neighbours share a vertex
+        joined = [v for p in parts for v in p[2][12:-1].split(", ")]
+        assert [v for k, v in enumerate(joined) if not k or joined[k - 1] != v] == whole[0].wkt[12:-1].split(", ")
+    assert export.tracks_layer(export.points(tracks(spark, [(1, "d", 0, 1e-7, -77400000.0, False), (2, "d", 1, 1.0, 1.0, False)], ", flagged boolean"))).first().wkt == "LINESTRING (-77400000.0 0.0000001, 1.0 1.0)"
+
+
+def test_survey_of_datasets(spark):
+    """Each dataset's row equals the measures of that dataset alone; an animal in two of them is two."""
+    rng = np.random.default_rng(5)
+    rows = [(int(1000 * k + i), a, 600 * i, round(1 + 1e-3 * rng.random(), 5), 2.0, k) for k in (1, 2) for a in ("x", "y") for i in range(60)]
+    rows += [(9000, "x", 0, 1.0, 1.0, 3)]
+    t = tracks(spark, rows, ", dataset int")
+    got = {r.dataset: r.asDict() for r in corpus.measure_by(t, "dataset").collect()}
+    assert set(got) == {1, 2, 3} and got[3]["pct_spikes"] is None and got[3]["n_fixes"] == 1
+    for k in (1, 2):
+        want = corpus.measure(t.filter(F.col("dataset") == k)).first().asDict()
+        assert {c: got[k][c] for c in want} == pytest.approx(want)
+    assert corpus.measure_by(t.limit(0), "dataset").count() == 0
+    files = spark.createDataFrame([("u", "a", 5, "ok"), ("u", "b", 9, "ok"), ("u", "c", 9, "unreadable"), ("v", "d", None, "no position"), ("w", "e", None, "unreadable")], "uuid string, file string, n_fixes int, status string")
+    assert {(r.uuid, r.file) for r in corpus.best_file(files).collect()} == {("u", "b"), ("v", "d"), ("w", "e")}
+    assert {(r.uuid, r.status, r.n_files) for r in corpus.dataset_status(files).collect()} == {("u", "ok", 3), ("v", "no position", 1), ("w", "unreadable", 1)}
+
+
+def test_sizes_join_items(spark):
+    files = spark.createDataFrame([("u", "ORIGINAL", 2, "b.csv", 5), ("u", "ORIGINAL", 1, "a.csv", None), ("u", "TEXT", 3, "c.txt", 9), (None, "ORIGINAL", 1, "z", 1)], "uuid string, bundle string, seq int, name string, bytes bigint")
+    items = spark.createDataFrame([("u", 1), ("none", 2)], "uuid string, seq int")
+    got = {r.uuid: (r.bytes_published, r.fichiers) for r in corpus.with_sizes(items, corpus.file_sizes(files)).collect()}
+    assert got == {"u": (5, "a.csv | b.csv"), "none": (0, "")}
+
+
+def test_four_fix_and_gate_summaries(spark):
+    rows, e = [], 0
+    for k in range(6):
+        for i in range(4):
+            e += 1
+            rows.append((e, "d", 2000 * k + 10 * i, 1.0 + (300 * M if i == 0 and k % 2 else 0), 1.0 + i * M))
+    t = tracks(spark, rows)
+    p = fleet.intra_burst_pairs(t)
+    s = fleet.four_fix_summary(fleet.four_fix_bursts(t, p)).first()
+    assert s.n_bursts == 3 and s.fix1_is_outlier_pct == 100 and s.fix1_median_m == pytest.approx(300, abs=1) and s.fix2_median_m < 3
+    j = fleet.contaminated_jumps(p).first()
+    assert j.n == 3 and j.median_mps == pytest.approx(300 / 1200, abs=1e-3) and j.p90_jump_m <= j.max_jump_m
+    from trackmeter.operators.tracks import consecutive_pairs
+
+    g = fleet.speed_gate_summary(consecutive_pairs(t)).first()
+    assert (g.n_pairs, g.n_flagged) == (23, 3) and g.median_jump_m == pytest.approx(300, abs=1)
+    none = fleet.contaminated_jumps(fleet.intra_burst_pairs(t.limit(0))).first()
+    assert none.n == 0 and none.median_mps is None and fleet.speed_gate_summary(consecutive_pairs(t.limit(0))).first().pct is None
+
+
+def test_detector_report_states_both_arms(spark):
+    rows = [("gps", float(i % 5)) for i in range(30)] + [("argos-doppler-shift", float(4 + i % 3)) for i in range(12)] + [("gnss", None), ("other", 9.0)]
+    r = {x.labels: x for x in corpus.detector_report(spark.createDataFrame(rows, "sensor string, pct_spikes double"), (("gps",), ("gnss",))).collect()}
+    assert (r["gps"].n_high, r["gps"].n_low, r["gps"].median_high, r["gps"].median_low) == (12, 30, 5.0, 2.0) and r["gps"].p < 1e-5
+    assert (r["gnss"].n_high, r["gnss"].n_low, r["gnss"].median_low, r["gnss"].p) == (12, 0, None, None)
+    conformance.require_robust([r["gps"].p])
+
+
+def test_thermal_pairs_by_cell_are_all_near_pairs(spark):
+    rng = np.random.default_rng(7)
+    rows = [(f"b{i % 9}", i, int(rng.integers(0, 900)), float(rng.choice([10.0, 89.9, -60.0])) + float(rng.uniform(-0.02, 0.02)), float(rng.choice([20.0, 179.99])) + float(rng.uniform(-0.02, 0.02)), 100.0, 1.0, 2.0, 2.2) for i in range(150)]
+    rows = [(*r[:4], r[4] - 360 if r[4] > 180 else r[4], *r[5:]) for r in rows]
+    sp = spark.createDataFrame(rows, "entity string, island int, start_s int, lat double, lon double, altitude_m double, wind_east double, wind_north double, wind double")
+    key = lambda d: {(r.a_island, r.b_island) for r in d.collect()}
+    every, near = key(wind.same_thermal(wind.spiral_pairs(sp))), key(wind.spiral_pairs(sp, km=2.0))
+    assert near == every and len(every) > 100
+    a = wind.agreement(wind.spiral_pairs(sp, km=2.0)).first()
+    assert (a.n_pairs, a.max_gap) == (len(every), 0.0)
+
+
 def test_noise_battery_and_device_pairs(spark):
     rng = np.random.default_rng(3)
     rows = [(i, "d", i, rng.normal() * M, rng.normal() * M, 0.05, 5.0) for i in range(60)]
@@ -281,9 +384,11 @@ def test_every_value_of_a_file_is_looked_at(spark):
         "short": ["2020-01-01 00:00:00,1,2"],
         "long": ["2020-01-01 00:00:00,1,2,3,,7,8"],
         "cut": ["2020-01-01 00:00:00,1,2,3,,7"],
+        "empty": [],
     }
-    lines = [(f, i, x) for f, b in body.items() for i, x in enumerate([head, *b])] + [("scope", 0, "timestamp,place"), ("scope", 1, "t,p"), ("bare", 1, "1,2")]
-    files = [(f, len(b) + (f == "cut")) for f, b in body.items()] + [("scope", 1), ("bare", 1), ("gone", 3)]
+    lines = [(f, i, x) for f, b in body.items() for i, x in enumerate([head, *b])] + [("scope", 0, "timestamp,place"), ("scope", 1, "t,p"), ("bare", 1, "1,2"), ("blank", 0, " ")]
+    lines += [("twice", 0, head + ",timestamp"), ("twice", 1, "2020-01-01 00:00:00,1,2,3,,7,x")]
+    files = [(f, len(b) + (f == "cut")) for f, b in body.items()] + [("scope", 1), ("bare", 1), ("gone", 3), ("blank", 0), ("twice", 1)]
     df = spark.createDataFrame(lines, "file_id string, line_no int, line string")
     heads = drift.headers(df, spark.createDataFrame([("timestamp", "text")], "field string, value_type string"))
     rep = conformance.file_report(df, drift.parsed(df, heads), heads, spark.createDataFrame(files, "file_id string, n_records int"))
@@ -298,6 +403,9 @@ def test_every_value_of_a_file_is_looked_at(spark):
         "cut": ("damaged archive", 0, "1 of 2 lines"),
         "scope": ("out of scope", 0, "neither time nor position among the columns"),
         "bare": ("unreadable", 0, "no header line"),
+        "empty": ("validation failed", 0, None),
+        "blank": ("no usable file", 0, "no text"),
+        "twice": ("mapping refused", 0, "a column comes twice"),
         "gone": ("damaged archive", 0, "0 of 3 lines"),
     }
 
@@ -368,6 +476,38 @@ def test_sources_sinks_and_export(spark, tmp_path):
     assert shapes.read_regions(spark, str(tmp_path / "p.shp")).count() == 1
 
 
+def test_small_parts(spark):
+    names = spark.createDataFrame([("a.CSV",), ("a readme.csv",), ("b.zip",), ("c.txt",), (None,)], "name string")
+    assert [r.name for r in names.filter(exports.wanted_file(F.col("name"))).collect()] == ["a.CSV", "b.zip"]
+    long = sinks.spectra_long(spark.createDataFrame([("a", [0.25, 0.75])], "entity string, power array<double>"), ["entity"]).collect()
+    assert [tuple(r) for r in long] == [("a", 0, 0.25), ("a", 1, 0.75)]
+    df = spark.createDataFrame([("t", 1.0, 2.0, 3.0, "x")], "timestamp string, `location-lat` double, `location-long` double, `height-above-msl` double, other string")
+    assert conformance.project(df).columns == ["ts", "lat", "lon", "altitude_gps_m"] and conformance.project(df.drop("timestamp")) is None
+    assert accel.transition_speed() == pytest.approx(1.4006, abs=1e-3)
+    meta = spark.createDataFrame([({"k": ["v", "", None], "e": []},), (None,)], "m map<string,array<string>>").select(declare.flatten_metadata(F.col("m")).alias("t"))
+    assert [r.t for r in meta.collect()] == ["[k] v", None]
+    p = spark.createDataFrame([("x" * 200 + " repeated and\tstale " + "y" * 200 + " duplicated",), ("nothing",), (None,)], "t string").select(declare.passages(F.col("t"), declare.FAMILIES["repetition"]).alias("p"))
+    got = [r.p for r in p.collect()]
+    a, b, c = got[0].split(" || ")
+    assert a == "x" * 89 + " repeated and stale " + "y" * 79 and b == "x" * 76 + " repeated and stale " + "y" * 89 and c == "y" * 89 + " duplicated" and got[1:] == [None, None]
+
+
+def test_counts_by_window_of_a_stream(spark, tmp_path):
+    rows = [("a", 10.0, 1.0), ("a", 3599.0, 4.0), ("a", 3600.0, 2.0), ("b", 5.0, None), ("a", 900_000.0, 1.0)]
+    spark.createDataFrame([(e, at(s), v) for e, s, v in rows], "entity string, ts timestamp_ntz, speed_mps double").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("entity string, ts timestamp_ntz, speed_mps double").parquet(str(tmp_path / "in"))
+    q = windowed_counts(stream).writeStream.format("memory").queryName("by_window").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted((r.entity, r.n_fixes, r.fastest_mps) for r in spark.table("by_window").collect())
+    assert got == [("a", 1, 1.0), ("a", 1, 2.0), ("a", 2, 4.0), ("b", 1, None)]
+
+
+def test_a_device_filter_reaches_the_scan(spark, tmp_path):
+    spark.createDataFrame([("a", 1.0), ("b", 2.0)], "entity string, lat double").write.parquet(str(tmp_path / "t"))
+    plan = spark.read.parquet(str(tmp_path / "t")).filter("entity = 'a'").select("lat")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(entity,a)" in plan and "ReadSchema: struct<entity:string,lat:double>" in plan
+
+
 def test_streamed_sessions_match_gaps(spark, tmp_path):
     secs = [0, 59, 119.9, 180, 400, 461]
     spark.createDataFrame([("a", at(s)) for s in secs] + [("a", at(10**6))], "entity string, ts timestamp_ntz").write.parquet(str(tmp_path / "s"))

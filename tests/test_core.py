@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackmeter.functions.geo import EARTH_RADIUS_M, haversine_m, utm, wrap_180
 from trackmeter.operators.fixes import DAY_US, dated_records, in_blocks, placed_records, with_neighbours
-from trackmeter.operators.quantile import grouped_quantile, summary_quantiles
+from trackmeter.operators.quantile import grouped_quantile, quantile_in_rows, summary_quantiles
 from trackmeter.operators.tracks import gap_bursts
 
 CLASH = ["entity", "blk", "ts_us", "lat", "_seen", "step"]
@@ -95,3 +95,26 @@ def test_quantile_is_exact_with_ties_and_negatives(spark):
         assert got == pytest.approx({k: float(np.quantile(vs, q)) for k, vs in groups.items()})
     one = summary_quantiles(df, {"m": (F.col("v"), 0.5), "none": (F.lit(None).cast("double"), 0.5)}).collect()
     assert one[0].m == pytest.approx(float(np.quantile(np.concatenate(list(groups.values())), 0.5))) and one[0].none is None
+
+
+def test_scratch_removes_what_operators_wrote(spark):
+    import os
+
+    from trackmeter.session import Written, scratch
+
+    kept = Written(spark)
+    kept.put(spark.range(3), "t")
+    with scratch(spark):
+        inner = Written(spark)
+        assert inner.put(spark.range(5), "t").count() == 5
+        assert os.path.isdir(inner.root.removeprefix("file://"))
+    assert not os.path.isdir(inner.root.removeprefix("file://")) and kept.get("t").count() == 3
+
+
+def test_quantile_of_written_rows(spark):
+    rng = random.Random(1)
+    rows = [("a", rng.choice([0.0, rng.random(), -3.0, 1e6])) for _ in range(500)] + [("b", 1.0), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for most in (0, 1000):
+        got = {r.k: (r.q, r.n) for r in quantile_in_rows(df, ["k"], "v", 0.95, most_broadcast=most).collect()}
+        assert got == {"a": (pytest.approx(np.quantile([v for k, v in rows if k == "a"], 0.95)), 500), "b": (1.0, 1)}

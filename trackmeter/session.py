@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,12 +46,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Written:
-    """Tables written to the shared folder to cut lineage; an older table is dropped by name."""
+    """Tables written to the shared folder to cut lineage and to be read more than once.
+
+    They outlive the operator that wrote them, as its result reads them. ``scratch`` removes them.
+    """
+
+    roots: list[str] = []
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        folder = shared_folder(spark)
-        self.root = f"{folder}/written-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+        Written.roots.append(self.root)
         if not spark.conf.get("spark.checkpoint.dir", ""):  # our own local folder: nobody else clears it
             atexit.register(shutil.rmtree, self.root.removeprefix("file://"), ignore_errors=True)
 
@@ -60,7 +67,23 @@ class Written:
     def get(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}")
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder: a local one by itself, any other through the session's file system."""
+    if path.startswith("file:"):
+        shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+    elif (context := getattr(spark, "_sc", None)) is not None:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the tables that operators wrote within; write or collect results before."""
+    before = len(Written.roots)
+    try:
+        yield
+    finally:
+        for root in Written.roots[before:]:
+            remove(spark, root)
+        del Written.roots[before:]
