@@ -169,18 +169,19 @@ def file_report(raw: DataFrame, lines: DataFrame, heads: DataFrame, files: DataF
         places[dst] = F.coalesce(places[dst], at) if dst in places else at
     text = {dst: low(F.get("vals", at - 1)) for dst, at in places.items()}
     numbers = [dst for dst in text if dst not in ("ts", "device_id")]
-    number = {dst: F.when(text[dst].rlike(NUMBER), text[dst].try_cast("double")) for dst in numbers}
+    number = {dst: F.when(text[dst].rlike(NUMBER), text[dst].try_cast("double")) for dst in ("lat", "lon")}
     dated = text["ts"].rlike("^[0-9]{1,4}[-/]") & mixed_timestamp(text["ts"]).isNotNull()
     n = lambda cond: F.sum(F.coalesce(cond, F.lit(False)).cast("int"))
-    uncast = sum((text[dst].isNotNull() & number[dst].isNull()).cast("int") for dst in numbers)
+    uncast = F.size(F.filter(F.array(*[text[dst] for dst in numbers]), lambda x: x.isNotNull() & ~x.rlike(NUMBER)))
     text_there = F.trim(F.coalesce("line", F.lit(""))) != ""
     sizes = raw.groupBy("file_id").agg(n((F.col("line_no") > 0) & F.col("line").isNotNull()).alias("n_lines"), F.max(text_there).alias("usable"))
+    far = F.exists(F.array(F.abs(number["lat"]), F.abs(number["lon"]) - 90), lambda x: x > 90)
     body = lines.groupBy("file_id").agg(
         n(F.size("vals") < F.size("names")).alias("short"),
         n(F.size("vals") > F.size("names")).alias("long"),
         F.sum(uncast).alias("uncast"),
         n(text["ts"].isNotNull() & ~dated).alias("undated"),
-        n((F.abs(number["lat"]) > 90) | (F.abs(number["lon"]) > 180)).alias("off_globe"),
+        n(far).alias("off_globe"),
     )
     core, mapped = F.lit(True), F.lit(True)
     for src, dst, _ in CANON:

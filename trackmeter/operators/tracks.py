@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackmeter.functions.columns import settled
 from trackmeter.functions.geo import haversine_m
 from trackmeter.operators.fixes import BLANKS, BLOCK_US, block_window, dated_records, in_blocks, with_neighbours
 
@@ -82,10 +83,9 @@ def consecutive_pairs(tracks: DataFrame, payload: Sequence[str] = (), block_us:
 def triplets(tracks: DataFrame, block_us: int = BLOCK_US) -> DataFrame:
     """Three consecutive fixes A, B, C at C: ``excursion_m`` = (AB + BC - AC) / 2, and the step BC."""
     df = with_neighbours(in_blocks(tracks, ["lat", "lon"], block_us), ["lat", "lon"], before=2)
-    ab = haversine_m("p2_lat", "p2_lon", "p1_lat", "p1_lon")
-    bc = haversine_m("p1_lat", "p1_lon", "lat", "lon")
-    ac = haversine_m("p2_lat", "p2_lon", "lat", "lon")
-    return df.withColumns({"step_m": bc, "excursion_m": (ab + bc - ac) / 2})
+    df = settled(df, {"step_m": haversine_m("p1_lat", "p1_lon", "lat", "lon")})
+    df = settled(df, {"_ab": haversine_m("p2_lat", "p2_lon", "p1_lat", "p1_lon"), "_ac": haversine_m("p2_lat", "p2_lon", "lat", "lon")})
+    return df.withColumn("excursion_m", (F.col("_ab") + F.col("step_m") - F.col("_ac")) / 2).drop("_ab", "_ac")
 
 
 def islands(df: DataFrame, breaks: Column) -> DataFrame:

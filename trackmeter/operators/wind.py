@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackmeter.functions.columns import settled
 from trackmeter.functions.geo import EARTH_RADIUS_M, heading_deg, wrap_180
 from trackmeter.operators.corpus import sized
 from trackmeter.operators.fixes import in_blocks, with_neighbours
@@ -34,7 +35,7 @@ def turn_rates(tracks: DataFrame, least_fixes: int = 100) -> DataFrame:
         "_uy": F.try_divide(north("p2_", "p1_"), dt("p2_", "p1_")),
         "dt": dt("p1_", ""),
     }
-    d = n.withColumns(v)
+    d = settled(n, v)
     turn = wrap_180(F.degrees(F.atan2("vx", "vy")) - F.degrees(F.atan2("_ux", "_uy")))
     rate = F.when((F.col("dt") > 0) & F.col("_ux").isNotNull(), turn / F.col("dt"))
     return d.withColumn("rate", rate)

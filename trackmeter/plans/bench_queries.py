@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmeter.functions.geo import haversine_m, utm
+from trackmeter.functions.geo import haversine_m, with_utm
 from trackmeter.operators import accel, bursts, conformance, corpus, declare, export, fence, fleet, noise, sheets, wind
 from trackmeter.operators.drift import headers, parsed
 from trackmeter.operators.fixes import dated_records
@@ -184,9 +184,7 @@ def gap_segments(spark, d):
 
 def _in_park(spark, d, *columns):
     """Every fix, with NULL where the projection does not hold."""
-    t = _tracks(spark, d, *columns)
-    e, n = utm("lat", "lon", MERIDIAN, south=False)
-    t = t.withColumns({"e": e, "n": n})
+    t = with_utm(_tracks(spark, d, *columns), MERIDIAN, south=False)
     return t.withColumn("inside", fence.in_polygon(F.col("e"), F.col("n"), PARK))
 
 

@@ -81,12 +81,12 @@ gr as (select *, case when decimals_lat is null then 'not measured' when decimal
     case when pct_spikes > 0.05 then 'Path length without a filter' end, case when regular_pct < 60 then 'Distances compared between individuals without resampling' end], lambda x: x is not null) lim from gq),
 gl as (select *, case when len(lim) > 0 then lim else ['None found by these tests'] end limits from gr)
 """
-_DUR = lambda s: f"case when {s} is null then 'unknown' when {s} < 90 then printf('%.0f s', {s}::double) when {s} < 5400 then printf('%.0f min', {s} / 60) when {s} < 172800 then printf('%.1f h', {s} / 3600) else printf('%.1f d', {s} / 86400) end"
+_DUR = lambda s: f"case when {s} is null then 'unknown' when {s} < 90 then printf('%.0f s', round({s}::double)) when {s} < 5400 then printf('%.0f min', round({s} / 60)) when {s} < 172800 then printf('%.1f h', round({s} / 3600, 1)) else printf('%.1f d', round({s} / 86400, 1)) end"
 _ROW = lambda name, value: f"'| {name} | ' || coalesce({value}, 'unknown') || ' |'"
 _SHEET = [
     "'# ' || entity", "''", "'Source licence: not declared'", "chr(10) || '| Measure | Value |' || chr(10) || '|---|---|'",
-    _ROW("Dominant sensor", "coalesce(sensor, 'not declared')"), _ROW("Fixes", "format('{:,}', n_fixes)"), _ROW("Individuals", "'1'"), _ROW("Span", "printf('%.0f', days) || ' days'"),
-    _ROW("Median cadence", _DUR("gap_median_s")), _ROW("Dominant cadence", _DUR("m")), _ROW("Regularity", "printf('%.0f', regular_pct) || ' % of gaps at the dominant cadence'"),
+    _ROW("Dominant sensor", "coalesce(sensor, 'not declared')"), _ROW("Fixes", "format('{:,}', n_fixes)"), _ROW("Individuals", "'1'"), _ROW("Span", "printf('%.0f', round(days)) || ' days'"),
+    _ROW("Median cadence", _DUR("gap_median_s")), _ROW("Dominant cadence", _DUR("m")), _ROW("Regularity", "printf('%.0f', round(regular_pct)) || ' % of gaps at the dominant cadence'"),
     _ROW("95th percentile of gaps", _DUR("gap_p95_s")), _ROW("Position spikes", "printf('%.3f', pct_spikes) || ' %, ' || read_spikes"),
     _ROW("Repeated positions", "printf('%.2f', pct_repeated) || ' %, ' || read_repeats"), _ROW("Coordinate grain", "decimals_lat::varchar || ' decimals, ' || read_grain"),
     "chr(10) || 'Not supported:' || chr(10)", "'- ' || array_to_string(limits, chr(10) || '- ')", _text(METHOD),
