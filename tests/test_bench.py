@@ -508,6 +508,38 @@ def test_a_device_filter_reaches_the_scan(spark, tmp_path):
     assert "EqualTo(entity,a)" in plan and "ReadSchema: struct<entity:string,lat:double>" in plan
 
 
+def test_csv_files_in_many_splits(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\ufefftimestamp,location-lat,location-long,individual-local-identifier,note\r\n" + "".join(f'{i},1.{i},2,Ann,"a, b"\r\n' for i in range(400)))
+    (tmp_path / "b.CSV").write_text("location-long,individual-local-identifier,timestamp,location-lat\n5,Bo,7,6\n5,Bo\n")
+    (tmp_path / "c.csv").write_text("")
+    (tmp_path / "d.csv").write_text("timestamp,location-lat,location-long\n1,2,3\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        df = exports.read_csv_files(spark, str(tmp_path), (*exports.NEEDED, "note", "argos:lc"))
+        rows = df.collect()
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    by = {}
+    for r in rows:
+        by.setdefault(r.file.rsplit("/", 1)[-1], []).append(r)
+    assert {r.timestamp for r in by["a.csv"]} == {str(i) for i in range(400)} and len(by["a.csv"]) == 400
+    assert all(r["note"] == "a, b" and r["argos:lc"] is None and r.problem is None for r in by["a.csv"])
+    assert [(r.timestamp, r["location-lat"], r["location-long"], r["individual-local-identifier"]) for r in by["b.CSV"]] == [("7", "6", "5", "Bo")]
+    assert [r.problem for r in by["c.csv"]] == ["no position"] and [r.problem for r in by["d.csv"]] == ["unreadable: no individual-local-identifier"]
+
+
+def test_what_is_written_is_what_is_judged(spark, tmp_path):
+    t = tracks(spark, [(1, "d", 10, 1, 1, 0.1)], ", speed_mps double")
+    assert sinks.write_then_validate(t, str(tmp_path / "good"), conformance.device_rules).count() == 1
+    with pytest.raises(conformance.GuardError):
+        sinks.write_then_validate(t.withColumn("lat", F.lit(91.0)), str(tmp_path / "bad"), conformance.device_rules)
+    assert not (tmp_path / "bad").exists()
+    sinks.spectra_long(spark.createDataFrame([("a", [0.25, 0.5, 0.25])], "entity string, power array<double>"), ["entity"]).write.parquet(str(tmp_path / "s"))
+    assert [tuple(r) for r in exports.read_spectra(spark, str(tmp_path / "s"), ["entity"]).collect()] == [("a", [0.25, 0.5, 0.25])]
+
+
 def test_streamed_sessions_match_gaps(spark, tmp_path):
     secs = [0, 59, 119.9, 180, 400, 461]
     spark.createDataFrame([("a", at(s)) for s in secs] + [("a", at(10**6))], "entity string, ts timestamp_ntz").write.parquet(str(tmp_path / "s"))

@@ -88,7 +88,7 @@ _P7 = f"""
 raw as (select "event-id" event_id, min("eobs:accelerations-raw") r from acc_records where "event-id" is not null group by 1),
 odd as (select event_id, regexp_replace(r, '^{_B}+|{_B}+$', '', 'g') r from raw where not regexp_matches(r, '^[+-]?[0-9]+( [+-]?[0-9]+)*$')),
 bare as (select event_id, case when regexp_matches(r, '^(\\[.*\\]|\\(.*\\)|\\{{.*\\}})$', 's') then r[2:-2] else r end r from odd),
-unq as (select event_id, regexp_replace(regexp_replace(r, '^{_B}+|{_B}+$', '', 'g'), '"([0-9]*),?([0-9]*)"', '\\1\\2', 'g') r from bare),
+unq as (select event_id, regexp_replace(regexp_replace(r, '^{_B}+|{_B}+$', '', 'g'), '"([+-]?[0-9]*),?([0-9]*)"', '\\1\\2', 'g') r from bare),
 cut as (select event_id, regexp_replace(regexp_replace(r, '^{_M}{_B}*', ''), '{_B}*{_M}$', '') r from unq where r <> ''),
 parts as (select event_id, regexp_split_to_array(r, '{_B}*{_M}{_B}*|{_B}+') p from cut),
 vals as (select event_id, unnest(p) v, unnest(range(1, len(p) + 1)) pos from parts),

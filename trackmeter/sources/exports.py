@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import zipfile
 from collections.abc import Iterator, Sequence
 
@@ -12,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackmeter.functions.columns import settled
 from trackmeter.operators.corpus import file_status
+from trackmeter.operators.drift import split_line
 
 NEEDED = ("timestamp", "location-lat", "location-long", "individual-local-identifier")
 OPTIONAL = (
@@ -61,56 +64,88 @@ def typed_export(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
+def _problem(names: Column) -> Column:
+    """Why a file with these headers can't be used; NULL if it can."""
+    missing = F.filter(F.array(*[F.lit(c) for c in NEEDED]), lambda c: ~F.array_contains(names, c))
+    placed = F.array_contains(names, F.lit("location-lat")) & F.array_contains(names, F.lit("location-long"))
+    return F.when(~placed, "no position").when(F.size(missing) > 0, F.concat(F.lit("unreadable: no "), F.get(missing, F.lit(0))))
+
+
+def _by_header(files: DataFrame, lines: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``file, problem`` and text columns of ``lines`` (``file, at, line``) by the header, the line of each file with the least ``at``."""
+    head = lines.groupBy("file").agg(F.min(F.struct("at", "line")).alias("h"))
+    bare = F.regexp_replace(F.rtrim(F.col("h.line"), F.lit("\r")), "^\ufeff", "")
+    head = head.select("file", F.col("h.at").alias("_first"), split_line(bare, F.lit(",")).alias("_names"))
+    named = files.join(head, "file", "left").withColumn("problem", _problem(F.coalesce("_names", F.array().cast("array<string>"))))
+    text = F.lit(None).cast("string")
+    bad = named.filter("problem is not null").select("file", "problem", *[text.alias(c) for c in columns])
+    vals = split_line(F.rtrim(F.col("line"), F.lit("\r")), F.lit(","))
+    rows = settled(lines.join(named.filter("problem is null"), "file").filter(F.col("at") > F.col("_first")), {"_vals": vals})
+    rows = rows.filter(F.size("_vals") == F.size("_names"))
+    value = lambda c: F.nullif(F.get("_vals", F.nullif(F.array_position("_names", F.lit(c)).cast("int"), F.lit(0)) - 1), F.lit(""))
+    return rows.select("file", text.alias("problem"), *[value(c).alias(c) for c in columns]).unionByName(bad)
+
+
+def read_csv_files(spark: SparkSession, path: str, columns: Sequence[str] = (*NEEDED, "sensor-type", "argos:lc")) -> DataFrame:
+    """``file, problem`` and text columns of the CSV files in a folder, each by its own header.
+
+    Files are split among tasks like any text, so their size does not matter; quoted values must not
+    span lines. Lines of another length than the header are skipped. A file without positions, or
+    without a needed column, gives one row with a ``problem`` and nulls.
+    """
+    lines = spark.read.option("pathGlobFilter", "*.[cC][sS][vV]").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.col("value").alias("line")
+    )
+    # within a task lines come in the order of the file, so the first of the block at 0 is the header
+    lines = lines.select("file", F.struct("_start", F.monotonically_increasing_id().alias("_id")).alias("at"), "line")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").load(path).select(F.col("path").alias("file"))
+    plain = lambda d: d.withColumn("file", F.regexp_replace("file", "^file:/+", "file:/"))
+    return _by_header(plain(files), plain(lines), list(columns))
+
+
 def read_archives(spark: SparkSession, path: str, columns: Sequence[str] = (*NEEDED, "sensor-type", "argos:lc"), batch: int = 50_000) -> DataFrame:
-    """``file, problem`` and text columns from CSV files and the first CSV of zip archives, one task a file.
+    """As ``read_csv_files``, with the first CSV of each zip archive in the folder besides.
 
-    Lines of another length than the header are skipped. A file without positions, or that cannot be
-    read, gives one row with a ``problem`` and nulls, instead of ending the job. Rows leave in batches.
+    An archive can't be read from its middle, so each is one task's work and at most 2 GB; unpack larger
+    ones beforehand. One that can't be read is a finding, not a failure.
     """
     columns = list(columns)
-
-    def lines_of(name: str, content: bytes) -> Iterator[list[str]]:
-        if name.lower().endswith(".zip"):
-            z = zipfile.ZipFile(io.BytesIO(content))
-            inner = [n for n in z.namelist() if n.lower().endswith(".csv")]
-            if not inner:
-                raise ValueError("no csv in archive")
-            fh = z.open(inner[0])
-        else:
-            fh = io.BytesIO(content)
-        yield from csv.reader(io.TextIOWrapper(fh, encoding="utf-8-sig", errors="replace", newline=""))
+    needed = list(NEEDED)
+
+    def table(content: bytes) -> Iterator[list[str]]:
+        members = (m for m in zipfile.ZipFile(io.BytesIO(content)).infolist() if m.filename.lower().endswith(".csv"))
+        if (first := next(members, None)) is None:
+            raise ValueError("no csv in archive")
+        with zipfile.ZipFile(io.BytesIO(content)).open(first) as member:
+            yield from csv.reader(io.TextIOWrapper(member, encoding="utf-8-sig", errors="replace", newline=""))
+
+    def parts(name: str, content: bytes) -> Iterator[list[list[str | None]]]:
+        try:
+            rows = table(content)
+            names = next(rows, [])
+            head = {c: names.index(c) for c in names}
+            absent = [c for c in needed if c not in head]
+            if absent:
+                unplaced = "location-lat" in absent or "location-long" in absent
+                yield [[name, "no position" if unplaced else f"unreadable: no {absent[0]}", *[None] * len(columns)]]
+                return
+            whole = (r for r in rows if len(r) == len(names))
+            while block := [[name, None, *[(r[head[c]] or None) if c in head else None for c in columns]] for r in itertools.islice(whole, batch)]:
+                yield block
+        except zipfile.BadZipFile:
+            yield [[name, "damaged archive", *[None] * len(columns)]]
+        except Exception as e:
+            yield [[name, f"unreadable: {type(e).__name__}: {e}"[:120], *[None] * len(columns)]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                problem, rows = None, []
-                frame = lambda rows, name=name: pd.DataFrame([[name, None, *r] for r in rows], columns=["file", "problem", *columns])
-                try:
-                    it = lines_of(name, content)
-                    head = next(it, [])
-                    if "location-lat" not in head or "location-long" not in head:
-                        problem = "no position"
-                    elif missing := [c for c in NEEDED if c not in head]:
-                        problem = f"unreadable: no {missing[0]}"
-                    else:
-                        at = [head.index(c) if c in head else None for c in columns]
-                        for line in it:
-                            if len(line) == len(head):
-                                rows.append([line[i] or None if i is not None else None for i in at])
-                                if len(rows) >= batch:
-                                    yield frame(rows)
-                                    rows = []
-                except zipfile.BadZipFile:
-                    problem = "damaged archive"
-                except Exception as e:  # a bad file is a finding, not a failure
-                    problem = f"unreadable: {type(e).__name__}: {e}"[:120]
-                if rows:
-                    yield frame(rows)
-                if problem:
-                    yield pd.DataFrame([[name, problem, *[None] * len(columns)]], columns=["file", "problem", *columns])
+                for block in parts(name, content):
+                    yield pd.DataFrame(block, columns=["file", "problem", *columns])
 
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("file", "problem", *columns)])
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.[zZ][iI][pP]").load(path).select("path", "content").mapInPandas(run, schema)
+    return read_csv_files(spark, path, columns).unionByName(zips)
 
 
 def archive_status(rows: DataFrame, least: int = 200) -> DataFrame:
@@ -138,6 +173,12 @@ def wanted_file(name: Column, ignored: Sequence[str] = ("readme", "reference"),
     return keep
 
 
+def read_spectra(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """Spectra stored in long form (``keys, k, power``) as one array a key, in order of k."""
+    long = spark.read.parquet(path)
+    return long.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "power"))), lambda x: x["power"]).alias("power"))
+
+
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """A JSON report, one object a file."""
     return spark.read.json(path, multiLine=True)
