@@ -511,7 +511,7 @@ def test_a_device_filter_reaches_the_scan(spark, tmp_path):
 def test_csv_files_in_many_splits(spark, tmp_path):
     (tmp_path / "a.csv").write_text("\ufefftimestamp,location-lat,location-long,individual-local-identifier,note\r\n" + "".join(f'{i},1.{i},2,Ann,"a, b"\r\n' for i in range(400)))
     (tmp_path / "b.CSV").write_text("location-long,individual-local-identifier,timestamp,location-lat\n5,Bo,7,6\n5,Bo\n")
-    (tmp_path / "c.csv").write_text("")
+    (tmp_path / "c.csv").write_text("\n")
     (tmp_path / "d.csv").write_text("timestamp,location-lat,location-long\n1,2,3\n")
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")

@@ -91,7 +91,7 @@ def read_csv_files(spark: SparkSession, path: str, columns: Sequence[str] = (*NE
 
     Files are split among tasks like any text, so their size does not matter; quoted values must not
     span lines. Lines of another length than the header are skipped. A file without positions, or
-    without a needed column, gives one row with a ``problem`` and nulls.
+    without a needed column, gives one row with a ``problem`` and nulls. A file of no bytes gives none.
     """
     lines = spark.read.option("pathGlobFilter", "*.[cC][sS][vV]").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.col("value").alias("line")
