@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackmeter.functions.columns import settled
 from trackmeter.session import Written
 
 #: words that stand for true and false besides these themselves
@@ -69,13 +70,13 @@ def approved_fields(approvals: DataFrame | None, own: Sequence[str]) -> dict[str
 
 
 def headers(lines: DataFrame, dictionary: DataFrame, approvals: DataFrame | None = None) -> DataFrame:
-    """``file_id, delimiter, names, exact, resolved, own_at, header_of``: one row a file, from its line 0.
+    """``file_id, delimiter, names, exact, resolved, own_at, header_of, keys``: one row a file, from its line 0.
 
     names: headers as written, trimmed and in lower case; exact: the field of that very name; resolved:
     the field it stands for, by its own name or by ``approvals`` (``header, field``). If two headers of
     a file stand for one field the first counts. For each field of the dictionary in turn, own_at is the
-    place of the header of its own name and header_of the header that stands for it. The delimiter is
-    the candidate most frequent outside quotes. Files without a header line give no row.
+    place of the header of its own name and header_of the header that stands for it; keys name what is
+    rescued from each place. The delimiter is the candidate most frequent outside quotes. Files without a header line give no row.
     """
     own = [f for f, _ in fields_of(dictionary)]
     lit_map = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) if d else F.lit(None).cast("map<string,string>")
@@ -89,17 +90,18 @@ def headers(lines: DataFrame, dictionary: DataFrame, approvals: DataFrame | None
     names = F.transform(split_line(F.col("line"), F.col("delimiter")), lambda x: F.lower(F.trim(x, F.lit(" \t\r\n﻿"))))
     once = lambda a: F.transform(a, lambda f, i: F.when(F.array_position(a, f) == i + 1, f))
     fields = F.array(*[F.lit(f) for f in own]).cast("array<string>")
-    # one row a file, written step by step: an array named within a lambda is computed anew for each element
-    stage = Written(lines.sparkSession)
-    heads = stage.put(head.select("file_id", "delimiter", names.alias("names")), "names")
-    seen = {"exact": F.transform("names", lambda x: exact[x]), "resolved": F.transform("names", lambda x: F.coalesce(exact[x], known[header_key(x)]))}
-    heads = stage.put(heads.withColumns(seen), "seen")
-    heads = stage.put(heads.withColumns({c: once(F.col(c)) for c in seen}), "once")
+    # step by step: an array that a lambda names would be computed anew for each element
+    heads = settled(head, {"names": names})
+    seen = {"_exact": F.transform("names", lambda x: exact[x]), "_resolved": F.transform("names", lambda x: F.coalesce(exact[x], known[header_key(x)]))}
+    heads = settled(settled(heads, seen), {c.removeprefix("_"): once(F.col(c)) for c in seen})
     at = {
         "own_at": F.transform(fields, lambda f: F.nullif(F.array_position("exact", f).cast("int"), F.lit(0))),
         "header_of": F.transform(fields, lambda f: F.get("names", F.nullif(F.array_position("resolved", f).cast("int"), F.lit(0)) - 1)),
     }
-    return stage.put(heads.withColumns(at), "heads")
+    # under which name a value of each place is rescued: a header that comes again has its place behind it
+    at["keys"] = F.transform("names", lambda x, i: F.when(F.array_position("names", x) - 1 < i, F.concat(x, F.lit("_"), i.cast("string"))).otherwise(x))
+    heads = settled(heads, at).select("file_id", "delimiter", "names", "exact", "resolved", *at)
+    return Written(lines.sparkSession).put(heads, "heads")  # read by each that looks at a line
 
 
 def parsed(lines: DataFrame, heads: DataFrame) -> DataFrame:
@@ -107,7 +109,7 @@ def parsed(lines: DataFrame, heads: DataFrame) -> DataFrame:
     body = lines.filter("line_no > 0 and line is not null").select("file_id", "line_no", "line")
     value = lambda x: F.when(F.trim(x) != "", F.trim(x))
     vals = F.transform(split_line(F.rtrim(F.col("line"), F.lit("\r\n")), F.col("delimiter")), value)
-    return body.join(heads, "file_id").withColumn("vals", vals).drop("line", "delimiter")
+    return settled(body.join(heads, "file_id"), {"vals": vals}).drop("line", "delimiter")
 
 
 def strict_cast(value: Column, kind: str) -> Column:
@@ -138,44 +140,42 @@ def spelling(value: Column) -> Column:
     return F.when(value.isNotNull(), kind)
 
 
+def strict_spelling(value: Column, kind: str) -> Column:
+    """``spelling`` of a value that ``strict_cast`` takes: its type tells most of it."""
+    if kind == "boolean":
+        return F.lit(BOOLEAN)
+    if kind == "integer":
+        return F.lit(INTEGER)
+    if kind == "decimal":
+        return F.when(F.contains(value, F.lit(".")), DECIMAL).otherwise(INTEGER)
+    return spelling(value)
+
+
 def ingest(lines: DataFrame, heads: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``file_id, line_no``, a typed column per dictionary field, ``_spelled`` and ``_rescued``.
 
     ``_rescued`` is a JSON object from header to raw text of all that the target schema does not take:
     other headers, values that do not cast, and values beyond the header (under ``_extra_<place>``).
-    Null where nothing was rescued (write the table before you filter by it). Lines cut short leave the
-    missing fields null. ``_spelled`` holds
+    Null where nothing was rescued. Lines cut short leave the missing fields null. ``_spelled`` holds
     the spelling of each typed value, by place in the dictionary.
     """
-    df = parsed(lines, heads)
     fields = fields_of(dictionary)
     at = lambda i: F.get("vals", F.get("own_at", F.lit(i)) - 1)
-    typed = {f: strict_cast(at(i), k) for i, (f, k) in enumerate(fields)}
-    uncast = F.array_compact(F.array(*[F.when(at(i).isNotNull() & typed[f].isNull(), F.lit(f)) for i, (f, _) in enumerate(fields)]).cast("array<string>"))
-    spelled = F.array(*[F.when(typed[f].isNotNull(), spelling(at(i))) for i, (f, _) in enumerate(fields)]).cast("array<int>")
+    df = settled(parsed(lines, heads), {f"_{i}": strict_cast(at(i), k) for i, (_, k) in enumerate(fields)})
+    uncast = F.array_compact(F.array(*[F.when(at(i).isNotNull() & F.col(f"_{i}").isNull(), F.lit(f)) for i, (f, _) in enumerate(fields)]).cast("array<string>"))
+    spelled = F.array(*[F.when(F.col(f"_{i}").isNotNull(), strict_spelling(at(i), k)) for i, (_, k) in enumerate(fields)]).cast("array<int>")
+    df = settled(df, {"_spelled": spelled, "_uncast": uncast})
+    own = lambda i: F.get("exact", i)
     cells = F.transform(
         "vals",
-        lambda v, i: F.struct(
-            F.coalesce(F.get("names", i), F.concat(F.lit("_extra_"), i.cast("string"))).alias("key"),
-            v.alias("value"),
-            F.get("exact", i).alias("field"),
-            i.alias("i"),
-        ),
-    )
-    kept = lambda u: F.filter(cells, lambda c: c["value"].isNotNull() & (c["field"].isNull() | F.array_contains(u, c["field"])))
-    left = F.transform(F.array(uncast), kept)[0]  # so that it is computed once a line, not once a cell
-    unique = F.transform(
-        left,
-        lambda c: F.struct(
-            F.when(F.array_position("names", c["key"]).between(1, c["i"]), F.concat(c["key"], F.lit("_"), c["i"].cast("string")))
-            .otherwise(c["key"])
-            .alias("key"),
-            c["value"].alias("value"),
+        lambda v, i: F.when(
+            v.isNotNull() & (own(i).isNull() | F.array_contains("_uncast", own(i))),
+            F.struct(F.coalesce(F.get("keys", i), F.concat(F.lit("_extra_"), i.cast("string"))).alias("key"), v.alias("value")),
         ),
     )
-    rescued = F.to_json(F.map_from_entries(unique))
-    rescued = F.when(rescued != "{}", rescued)
-    return df.select("file_id", "line_no", *[v.alias(f) for f, v in typed.items()], spelled.alias("_spelled"), rescued.alias("_rescued"))
+    df = settled(df, {"_left": F.array_compact(cells)})
+    df = settled(df, {"_rescued": F.when(F.size("_left") > 0, F.to_json(F.map_from_entries("_left")))})
+    return df.select("file_id", "line_no", *[F.col(f"_{i}").alias(f) for i, (f, _) in enumerate(fields)], "_spelled", "_rescued")
 
 
 def replay(table: DataFrame, heads: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def replay(table: DataFrame, heads: DataFrame, dictionary: DataFrame) -> DataFra
     the header that stands for a field. What still has no place stays in ``_rescued``, but counts for
     ``_spelled`` where its header stands for a field. May be run again whenever headers are approved.
     """
-    df = table.join(heads.select("file_id", "header_of"), "file_id", "left").withColumn("_m", F.from_json("_rescued", "map<string,string>"))
+    df = settled(table.join(heads.select("file_id", "header_of"), "file_id", "left"), {"_m": F.from_json("_rescued", "map<string,string>")})
     some = F.col("_m").isNotNull()
     out, moved = {}, []
     for i, (f, kind) in enumerate(fields_of(dictionary)):
@@ -195,13 +195,11 @@ def replay(table: DataFrame, heads: DataFrame, dictionary: DataFrame) -> DataFra
         moved.append(F.when(F.col(f"`{f}`").isNull() & cast.isNotNull(), F.get("header_of", F.lit(i))))
     spelled = F.zip_with("_spelled", "header_of", lambda s, h: F.coalesce(s, spelling(F.col("_m")[h])))
     rest = F.map_filter("_m", lambda k, v: ~F.array_contains("_moved", k))
-    df = df.withColumn("_moved", F.when(some, F.array_compact(F.array(*moved).cast("array<string>"))))
-    return df.select(
-        "file_id",
-        "line_no",
-        *[v.alias(f) for f, v in out.items()],
-        F.when(some, spelled).otherwise(F.col("_spelled")).alias("_spelled"),
-        F.when(some & (F.size(rest) > 0), F.to_json(rest)).alias("_rescued"),
+    df = settled(df, {"_moved": F.when(some, F.array_compact(F.array(*moved).cast("array<string>")))})
+    new = {f"_{i}": v for i, v in enumerate(out.values())}
+    new |= {"_how": F.when(some, spelled).otherwise(F.col("_spelled")), "_rest": F.when(some & (F.size(rest) > 0), F.to_json(rest))}
+    return settled(df, new).select(
+        "file_id", "line_no", *[F.col(f"_{i}").alias(f) for i, f in enumerate(out)], F.col("_how").alias("_spelled"), F.col("_rest").alias("_rescued")
     )
 
 

@@ -55,8 +55,8 @@ def _ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     table, heads = _ingested(spark, sf_dir)
-    table = Written(spark).put(table, "ingested")  # else each use of a rescued value would parse its line again
-    return drift.changes(t.export_files, drift.profile(table, heads, t.field_dictionary)).select("file_id", "field", "change_kind")
+    fields = Written(spark).put(drift.profile(table, heads, t.field_dictionary), "fields")  # met twice: as now and as before
+    return drift.changes(t.export_files, fields).select("file_id", "field", "change_kind")
 
 
 def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,14 +68,12 @@ def p2_preserved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What ingestion alone preserves by line, before headers are promoted."""
     t = Tables(spark, sf_dir)
     heads = drift.headers(t.export_lines, t.field_dictionary)
-    table = Written(spark).put(drift.ingest(t.export_lines, heads, t.field_dictionary).select("file_id", "line_no", "_rescued"), "ingested")
-    return table.filter("_rescued is not null").select("file_id", "line_no", "_rescued")
+    return drift.ingest(t.export_lines, heads, t.field_dictionary).filter("_rescued is not null").select("file_id", "line_no", "_rescued")
 
 
 def p2_rescued(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What has no place in ``p2_table``, by line, as JSON from header to raw text."""
-    table = Written(spark).put(_ingested(spark, sf_dir)[0].select("file_id", "line_no", "_rescued"), "replayed")
-    return table.filter("_rescued is not null").select("file_id", "line_no", "_rescued")
+    return _ingested(spark, sf_dir)[0].filter("_rescued is not null").select("file_id", "line_no", "_rescued")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
