@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.test_core import CLASH, hav
 from trackmeter.functions.geo import EARTH_RADIUS_M
-from trackmeter.operators import drift
+from trackmeter.operators import drift, spatial, spikes
 from trackmeter.operators.fixes import BLOCK_US, DAY_US
 from trackmeter.operators.packed import all_bursts, odd_bursts
 from trackmeter.operators.sessions import sessions
@@ -80,6 +80,15 @@ def test_frozen_run_from_a_lone_record_before_a_block_edge(make_fixes):
     assert got == {1, 2, 3, 4, 5, 6} == brute_implausible(rows)
 
 
+def test_implausible_without_broadcasts(make_fixes, monkeypatch):
+    """With more entities than may be broadcast, their facts are joined by block: the same records."""
+    rows, fixes = rhythm(make_fixes)
+    monkeypatch.setattr(spikes, "MOST_BROADCAST", 0)
+    frozen = [(5000 + i, 60 * i, 40.0, 9.0, "x") for i in range(7)]
+    want = brute_implausible(rows + frozen)
+    assert {r.event_id for r in implausible(make_fixes(rows + frozen)).collect()} == want and len(want) == 10
+
+
 def test_implausible_of_nothing(make_fixes):
     assert implausible(make_fixes([])).count() == 0
     assert [r.reason for r in implausible(make_fixes([(1, 0, 0.0, 0.0, "a")])).collect()] == ["impossible"]
@@ -216,7 +225,7 @@ def test_triangles_decide_the_candidates(make_fixes):
     assert got == {k for k, (u, v) in enumerate(spots) if abs(u) + v <= 1.4156} == {0, 1, 2, 3, 7, 8}
 
 
-def test_hot_nodes_are_split(make_fixes):
+def test_hot_nodes_are_split(make_fixes, monkeypatch):
     """One animal rests where others pass: its rows are split, never multiplied by themselves, and no pair is lost."""
     rng = random.Random(6)
     spot = lambda: (60.0 + rng.uniform(-2, 2) * 1e-4, 10.0 + rng.uniform(-4, 4) * 1e-4)
@@ -226,6 +235,8 @@ def test_hot_nodes_are_split(make_fixes):
     for most in (16, 10_000):
         got = [(r.event_id_a, r.event_id_b) for r in near_pairs(fixes, hot_rows=most).collect()]
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
+    monkeypatch.setattr(spatial, "MOST_HOT", 0)  # by shuffle
+    assert {(r.event_id_a, r.event_id_b) for r in near_pairs(fixes, hot_rows=16).collect()} == want
     raw = fixes.selectExpr("`individual-local-identifier` entity", "`location-lat` lat", "`location-long` lon", "`event-id` event_id").distinct()
     grid = Grid(30.0, 3.0)
     hot = HotNodes(raw, grid, 16)

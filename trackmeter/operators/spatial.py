@@ -190,6 +190,8 @@ def regions_of_points(
 PACK = 64
 #: region rows of a node beyond which it is split
 HOT_ROWS = 8_192
+#: hot nodes whose table may be broadcast (under 50 MB); they are counted first
+MOST_HOT = 100_000
 
 
 def packs(df: DataFrame, keys: Sequence[str], entity: str, columns: Sequence[str], name: str) -> DataFrame:
@@ -267,7 +269,7 @@ class HotNodes:
         at = grid.regions(rows)
         counts = stage.put(at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).agg(
             F.sum("n").alias("rows"), F.sum((F.col("n") > most).cast("bigint")).alias("hot")), "counts").first()
-        self.rows, self.some, self.small = counts.rows or 0, bool(counts.hot), (counts.hot or 0) <= 100_000
+        self.rows, self.some, self.small = counts.rows or 0, bool(counts.hot), (counts.hot or 0) <= MOST_HOT
         if not self.some:
             return
         hot = at.groupBy("node").count().filter(F.col("count") > most).select("node")
