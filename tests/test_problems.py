@@ -164,6 +164,21 @@ def test_the_sparse_part_chooses_the_rows(make_fixes):
     assert ids(kernel=lambda d: (np.minimum(d - 0.3, 1.7), d * 0)) == set()
 
 
+def test_recurring_excursions_are_found_without_a_pursuit(make_fixes, monkeypatch):
+    """Over 8 whole days, an excursion in each of six hours a day, and one by itself."""
+    rng, rows, lo = random.Random(5), [], 2.0
+    for i in range(8 * 288):
+        day, slot = divmod(i, 288)
+        lo += 1e-3 * rng.uniform(0.8, 1.2)
+        far = (72 <= slot < 144 and slot % 12 == 6) or (day, slot) == (3, 246)
+        rows.append((i, 2 * 86400 + 300 * i, 1.0 + 0.7 * far, lo, "a"))
+    fixes = make_fixes(rows)
+    sparse = {r.event_id for r in implausible(fixes, kernel=robust_components).collect()}
+    assert sparse == {3 * 288 + 246}  # the rest recurs: with a pursuit it counts as the rhythm
+    monkeypatch.setattr(spikes, "profile_cells", None)  # the definition's answer takes no matrix apart
+    assert {r.event_id for r in implausible(fixes).collect()} == brute_implausible(rows) == {r[0] for r in rows if r[2] > 1}
+
+
 def test_robust_components_keep_spikes_sparse():
     rng = np.random.default_rng(0)
     base = np.outer(np.ones(8), 0.5 + 0.4 * np.sin(np.arange(24) / 4))[None] + rng.normal(0, 0.01, (1, 8, 24))
